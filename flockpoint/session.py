@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +24,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
+def _write(df: DataFrame) -> str:
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.option("maxRecordsPerFile", 0).parquet(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the files."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the checkpoint folder and continue from it.
+
+    The files outlive lost executors, are read by column, and tell the optimizer their
+    true size, so the next round's join choices rest on facts.
+    """
+    return df.sparkSession.read.schema(df.schema).parquet(_write(df))
 
 
 def spread_over(df: DataFrame, *keys: str) -> DataFrame:
@@ -42,15 +54,15 @@ def spread_over(df: DataFrame, *keys: str) -> DataFrame:
 def numbered(df: DataFrame, *order: Column, name: str = "rank", sums: dict[str, Column] | None = None):
     """Add a dense 0-based row number in the given order, without a one-task window.
 
-    Range-sorts, writes the sorted partitions, and shifts the position inside a
-    partition by the size of the partitions before it. What reaches the driver is
-    one row per partition. Returns the frame, its row count and the asked sums.
+    Range-sorts, writes one file per sorted partition, and shifts the position inside a
+    file by the rows of the files before it. What reaches the driver is one row per file. Returns the frame, its row count and the asked sums.
     """
-    spark = df.sparkSession
-    done = cut(df.orderBy(*order))
+    path = _write(df.orderBy(*order))
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("int")
+    done = df.sparkSession.read.schema(df.schema).parquet(path)
     sums = sums or {}
     stats = (
-        done.groupBy(F.spark_partition_id().alias("part"))
+        done.groupBy(part.alias("part"))
         .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
         .orderBy("part")
         .collect()
@@ -60,9 +72,8 @@ def numbered(df: DataFrame, *order: Column, name: str = "rank", sums: dict[str,
         offsets += [total] * (row["part"] + 1 - len(offsets))
         total += row["n"]
     totals = {k: sum(row[k] for row in stats) for k in sums}
-    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    shift = F.split(F.lit(",".join(map(str, offsets or [0]))), ",")[F.spark_partition_id()].cast("bigint")
-    return done.withColumn(name, local + shift), total, totals
+    shift = F.split(F.lit(",".join(map(str, offsets or [0]))), ",")[part].cast("bigint")
+    return done.select("*", (F.col("_metadata.row_index") + shift).alias(name)), total, totals
 
 
 def attach(
@@ -96,3 +107,31 @@ def attach(
         "__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))
     )
     return left.drop("__salts").join(right.drop("__salts"), [key, "__salt"], how).drop("__salt")
+
+
+def _hot_keys(df: DataFrame, key: str, rows: int, name: str) -> DataFrame:
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    top = counts.orderBy(F.col("__n").desc(), F.col(key)).limit(1000).filter(F.col("__n") > rows)
+    return top.select(key, F.ceil(F.col("__n") / F.lit(rows)).cast("int").alias(name))
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, rows: int = 100_000) -> DataFrame:
+    """Inner join on a key that may be hot on both sides.
+
+    A key with more than ``rows`` rows on a side is cut into chunks there, and the other
+    side repeats its rows of that key once per chunk; every task sees a bounded piece of
+    either side. At most 1000 keys per side are treated this way (any other key holds
+    less than a thousandth of the rows).
+    """
+    hot = _hot_keys(left, key, rows, "__l").join(_hot_keys(right, key, rows, "__r"), key, "full")
+    hot = F.broadcast(hot.select(key, F.coalesce("__l", F.lit(1)).alias("__l"), F.coalesce("__r", F.lit(1)).alias("__r")))
+
+    def cut_up(df: DataFrame, own: str, other: str) -> DataFrame:
+        chunk = F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.coalesce(F.col(own), F.lit(1))).cast("int")
+        out = df.join(hot, key, "left").withColumn(f"{own}s", chunk)
+        return out.withColumn(
+            f"{other}s", F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))
+        ).drop("__l", "__r")
+
+    a, b = cut_up(left, "__l", "__r"), cut_up(right, "__r", "__l")
+    return a.join(b, [key, "__ls", "__rs"]).drop("__ls", "__rs")
