@@ -144,7 +144,7 @@ def _(spark, sf):
 
 @query(
     "sparse_points",
-    "select l_orderkey id, " + ", ".join(f"coalesce(max(l_quantity) filter (l_linenumber={i}), 0) x{i}" for i in range(1, 8)) + " from lineitem group by 1",
+    "select l_orderkey id, " + ", ".join(f"coalesce(sum(l_quantity) filter (l_linenumber={i}), 0) x{i}" for i in range(1, 8)) + " from lineitem group by 1",
 )
 def _(spark, sf):
     sparse = S.as_points_sparse(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", "l_quantity")

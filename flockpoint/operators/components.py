@@ -13,23 +13,23 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-JUMPS = 3  # pointer doublings per written round
+HOPS = 3  # pointer hops per written round; each round's pointers are the next round's hops
 
 
 def compress(parents: DataFrame) -> DataFrame:
     """``(id, parent)`` -> ``(id, root)``; roots point to themselves, pointers have no cycles."""
-    cur = parents.select("id", F.col("parent").alias("root"))
+    base = cut(parents.select("id", F.col("parent").alias("root")))
     while True:
-        step = cur
-        for _ in range(JUMPS):
-            up = step.select(F.col("id").alias("__id"), F.col("root").alias("__up"))
-            step = step.join(up, F.col("root") == F.col("__id")).select("id", F.col("__up").alias("root"))
-        step = cut(step)
-        up = step.select(F.col("id").alias("__id"), F.col("root").alias("__up"))
-        open_ends = step.join(up, F.col("root") == F.col("__id")).filter(F.col("root") != F.col("__up"))
-        if open_ends.isEmpty():
-            return step
-        cur = step
+        cur = base
+        for i in range(HOPS):
+            up = base.select(F.col("id").alias("__id"), F.col("root").alias("__up"))
+            last = [(F.col("root") != F.col("__up")).alias("__open")] if i + 1 == HOPS else []
+            cur = cur.join(up, F.col("root") == F.col("__id")).select("id", F.col("__up").alias("root"), *last)
+        cur = cut(cur)
+        # a row whose last hop moved nothing has reached its root
+        if cur.filter("__open").isEmpty():
+            return cur.drop("__open")
+        base = cur.drop("__open")
 
 
 def relabel(edges: DataFrame, roots: DataFrame, *cols: str) -> DataFrame:

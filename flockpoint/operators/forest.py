@@ -109,27 +109,37 @@ def reach_forest(ix: BlockIndex, core: DataFrame, knn: DataFrame, max_dist: floa
     limit = F.lit(float("inf") if max_dist is None else float(max_dist))
     cur = cut(_thin(seeds.select(F.col("src").alias("cs"), F.col("dst").alias("cd"), "w", "src", "dst")))
     # no unlisted neighbour of a point is nearer than its list reaches
-    verts = cut(
-        verts.join(lists, "pid", "left").withColumn("floor", F.greatest("core_dist", F.coalesce("far", F.lit(0.0))))
+    floors = verts.join(lists, "pid", "left").select(
+        F.col("pid").alias("id"), F.greatest("core_dist", F.coalesce("far", F.lit(0.0))).alias("floor")
     )
-    out, walking = None, False
+    comps = verts.select("pid", F.col("pid").alias("comp"))
+    out = None
     while True:
-        best = cut(_best_edges(cur))
-        if not walking:
-            floors = verts.groupBy(F.col("comp").alias("id")).agg(F.min("floor").alias("floor"))
-            picks = cut(best.join(floors, "id").filter(F.col("w") <= F.col("floor")).drop("floor"))
-            walking = picks.isEmpty()
-        if walking:
-            found = _shorter_edges(ix, verts, best, limit)
-            cur = cut(_thin(cur.unionByName(found)))
-            picks = cut(_best_edges(cur))
-            if picks.isEmpty():
-                break
+        best = cut(_best_edges(cur).join(floors, "id", "left").withColumn("sure", F.col("w") <= F.col("floor")))
+        picks = best.filter("sure")
+        if picks.isEmpty():
+            break
         got = picks.select("src", "dst", "w").distinct()
-        out = got if out is None else cut(out.unionByName(got))
+        out = got if out is None else out.unionByName(got)
         roots = _picks_to_roots(picks.select("id", "other"))
         cur = cut(_thin(relabel(cur, roots, "cs", "cd")))
+        floors = relabel(floors, roots, "id").groupBy("id").agg(F.min("floor").alias("floor"))
+        floors, comps = cut(floors), relabel(comps, roots, "comp")
+    best = best.select("id", "other", "w", "src", "dst")
+    verts = cut(verts.drop("comp").join(comps, "pid"))
+    while True:
+        found = cut(_shorter_edges(ix, verts, best, limit))
+        picks = cut(_best_edges(_thin(cur.unionByName(found))))
+        if picks.isEmpty():
+            break
+        got = picks.select("src", "dst", "w").distinct()
+        out = got if out is None else out.unionByName(got)
+        roots = _picks_to_roots(picks.select("id", "other"))
+        cur = cut(_thin(relabel(cur.unionByName(found), roots, "cs", "cd")))
+        if max_dist is None and cur.isEmpty():
+            break  # the seeds link all locations, so one component is left
         verts = cut(relabel(verts, roots, "comp"))
+        best = cut(_best_edges(cur))
     if out is None:
         return cur.select("src", "dst", "w")
     return out.distinct()

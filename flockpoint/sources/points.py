@@ -87,11 +87,11 @@ def write_labels(labels: DataFrame, path: str, mode: str = "errorifexists", fmt:
 
 
 def as_points_sparse(df: DataFrame, id: str, dim: str, value: str) -> DataFrame:
-    """``(id, features MAP<INT, DOUBLE>)`` from one row per non-zero coordinate."""
-    entries = F.collect_list(F.struct(F.col(dim).cast("int"), F.col(value).cast("double")))
-    return df.groupBy(F.col(id).cast("bigint").alias("id")).agg(
-        F.map_from_entries(F.sort_array(entries)).alias("features")
+    """``(id, features MAP<INT, DOUBLE>)`` from one row per non-zero coordinate; doubles add up."""
+    cells = df.groupBy(F.col(id).cast("bigint").alias("id"), F.col(dim).cast("int").alias("d")).agg(
+        F.sum(F.col(value).cast("double")).alias("v")
     )
+    return cells.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("d", "v")))).alias("features"))
 
 
 def densify(sparse: DataFrame, dim: int) -> DataFrame:

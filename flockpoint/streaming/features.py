@@ -18,7 +18,11 @@ def windowed_features(
     are left out and a window is emitted once it has passed.
     """
     dim = len(cols)
-    rows = stream.select(F.col(ts).alias("ts"), F.array(*[F.col(c).cast("double") for c in cols]).alias("features"))
+    when = F.col(ts)
+    if stream.schema[ts].dataType.typeName() == "timestamp_ntz":
+        # times without a zone are read as UTC, whatever the session's zone
+        when = F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), when))
+    rows = stream.select(when.alias("ts"), F.array(*[F.col(c).cast("double") for c in cols]).alias("features"))
     rows = rows.withColumn("cell", V.cell_of("features", [0.0] * dim, side))
     if rows.isStreaming:
         rows = rows.withWatermark("ts", watermark)
