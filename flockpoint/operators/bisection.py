@@ -28,27 +28,30 @@ def bisect(labels: DataFrame, edges: DataFrame, start: DataFrame | None = None,
     )
     strength = both.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("g"))
     guess = F.pmod(F.xxhash64("id"), F.lit(2001)) / F.lit(1000.0) - F.lit(1.0)
-    state = here.join(strength, "id", "left").withColumn("g", F.coalesce("g", F.lit(0.0)))
+    rows = here.join(strength, "id", "left").withColumn("g", F.coalesce("g", F.lit(0.0)))
     if start is None:
-        state = state.withColumn("x", guess)
+        rows = rows.withColumn("x", guess)
     else:
-        state = state.join(start.select("id", "x"), "id", "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
-    state = cut(state)
+        rows = rows.join(start.select("id", "x"), "id", "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
+    rows = cut(rows)
+    # half a step of the walk, so that no mode can alternate: one row per edge and one per vertex
+    stay = F.when(F.col("g") > 0, F.lit(0.5)).otherwise(F.lit(1.0))
+    moves = cut(
+        both.join(rows.select(F.col("id").alias("src"), "g"), "src")
+        .select(F.col("src").alias("i"), F.col("dst").alias("j"), (F.col("weight") / (F.col("g") * 2)).alias("c"))
+        .unionByName(rows.select(F.col("id").alias("i"), F.col("id").alias("j"), stay.alias("c")))
+    )
+    # the walk keeps the weighted mean of every cluster, so it is taken out once
+    mean = rows.groupBy("label").agg(
+        F.sum(F.col("g") * F.col("x")).alias("gx"), F.sum("g").alias("gs"), F.count(F.lit(1)).alias("n")
+    ).select("label", "n", F.when(F.col("gs") > 0, F.col("gx") / F.col("gs")).otherwise(F.lit(0.0)).alias("m"))
+    state = attach(rows.select("id", "label", "x"), mean, "label", "n").select("id", (F.col("x") - F.col("m")).alias("x"))
     for i in range(passes):
-        mean = state.groupBy("label").agg(
-            F.sum(F.col("g") * F.col("x")).alias("gx"), F.sum("g").alias("gs"), F.count(F.lit(1)).alias("n")
-        ).select("label", "n", F.when(F.col("gs") > 0, F.col("gx") / F.col("gs")).otherwise(F.lit(0.0)).alias("m"))
-        centred = attach(state, mean, "label", "n").select("id", "label", "g", (F.col("x") - F.col("m")).alias("x"))
-        pull = (
-            both.join(centred.select(F.col("id").alias("dst"), "x"), "dst")
-            .groupBy(F.col("src").alias("id"))
-            .agg(F.sum(F.col("weight") * F.col("x")).alias("y"))
-        )
-        # half a step of the walk, so that no mode can alternate
-        step = F.when(F.col("g") > 0, (F.col("x") + F.col("y") / F.col("g")) / 2).otherwise(F.col("x"))
-        state = centred.join(pull, "id", "left").select("id", "label", "g", step.alias("x"))
+        at = state.select(F.col("id").alias("j"), "x")
+        state = moves.join(at, "j").groupBy(F.col("i").alias("id")).agg(F.sum(F.col("c") * F.col("x")).alias("x"))
         if (i + 1) % PASSES_PER_WRITE == 0 or i + 1 == passes:
             state = cut(state)
+    state = cut(state.join(here, "id"))
     middle = state.groupBy("label").agg(F.percentile_approx("x", 0.5, 100_000).alias("mid"), F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"))
     split = attach(state.select("id", "label", "x"), middle, "label", "n")
     # at least one row on the lower side: with the median at the bottom, only the ties there
