@@ -100,6 +100,7 @@ def kmedoids(
         if not swaps:
             break
         medoids = [swaps.get(m[0], m) for m in medoids]
+    points.unpersist()
     return best[2].select("id", F.col("center").alias("medoid"), "dist")
 
 
