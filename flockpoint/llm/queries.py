@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from public_tokenizers import path as vocabulary
 
+from . import licences, perplexity, quality
+from .chat import digests, format_trees, message_chains
+from .langid import held_out, identify, train
+from .linededup import drop_boilerplate
+from .lzprint import phrase_fingerprints
 from .neardup import near_duplicates
+from .mixing import mix_sources, plausible_words
+from .packing import pack_documents
 
 _QUERIES = {}
 _SQL = {}
@@ -63,3 +71,120 @@ def components_sql(docs: str, words: int, percent: int) -> str:
 )
 def _(spark, sf):
     return near_duplicates(table(spark, sf, "documents"), words=3, percent=85)
+
+
+@query("op1_language_id")
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = train(docs.filter(~held_out(F.col("doc_id"))).select("text", "lang"))
+    return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+@query("op2_packing")
+def _(spark, sf):
+    return pack_documents(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query(
+    "op3_mix",
+    f"""
+    with d as (select doc_id, source, len({SQL_WORDS.format("coalesce(text, '')")}) size, length(text) chars from documents),
+    keyed as (select doc_id, source, size,
+      -ln((cast('0x' || substr(md5(concat_ws(chr(31), coalesce(cast(doc_id as varchar), ''), '1')), 1, 12) as bigint) + 0.5::double) / 281474976710656::double)
+      / (case when size > 0 and chars::double / size between 3 and 11 then 1.0::double else 0.5::double end) k from d),
+    s as (select source, sum(size)::bigint ss, ([5, 2, 1])[((row_number() over (order by source nulls last)) - 1) % 3 + 1]::double w from d group by 1),
+    r as (select *, 2.0::double * ss / w ratio, sum(w) over (order by 2.0::double * ss / w desc, source desc) wa,
+      coalesce(sum(ss) over (order by 2.0::double * ss / w, source rows between unbounded preceding and 1 preceding), 0) sb from s),
+    lam as (select *, ((select sum(ss) * 150 from s)::double / 100 - sb::double * 2) / wa l from r),
+    lev as (select arg_min(l, ratio) l from lam where l < ratio),
+    t as (select source, ss, least(2.0::double * ss, w * (select l from lev)) target from s),
+    e as (select *, case when ss > 0 then floor(target / ss) else 0 end epochs from t)
+    select doc_id, size, ss source_size, target, cast(epochs * size + greatest(0, least(size, floor(target - epochs * ss)
+      - coalesce(sum(size) over (partition by source order by k, doc_id rows between unbounded preceding and 1 preceding), 0))) as bigint) taken
+    from keyed join e using (source)""",
+)
+def _(spark, sf):
+    mixed = mix_sources(table(spark, sf, "documents"), quality=plausible_words())
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_fingerprints")
+def _(spark, sf):
+    return phrase_fingerprints(table(spark, sf, "documents"))
+
+
+@query("op6_quality")
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    labels = table(spark, sf, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", "quality")
+    sample = quality.labelled_sample(docs.select("doc_id", "text", "n_chars"), labels, "quality")
+    model = quality.train(sample, metadata=("n_chars",))
+    scored = quality.score(docs, model, metadata=("n_chars",))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op7_licences")
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    scanner = licences.fit(licences.sample_paragraphs(docs))
+    hits = licences.licence_hits(docs, scanner)
+    return hits.select(
+        "doc_id",
+        F.size("hits").alias("n_hits"),
+        F.array_join(F.array_sort(F.array_distinct("hits.family")), ",").alias("families"),
+        F.array_min("hits.score").alias("least_score"),
+        F.array_min("hits.likeness").alias("least_likeness"),
+    )
+
+
+def line_dedup_sql(docs: str) -> str:
+    """CTEs up to ``cleaned(doc_id, source, lang, text, n_chars, n_lines, n_dropped)`` for a documents relation."""
+    filled = "length(trim({0}, ' ' || chr(9) || chr(11) || chr(12) || chr(13))) > 0"
+    return f"""
+    dp as (select distinct source, text from {docs} where text is not null),
+    tot as (select source, count(*) n_pages from dp group by 1),
+    ln as (select distinct source, text, unnest(string_split(text, chr(10))) line from dp),
+    freq as (select source, line, count(*) n from ln where {filled.format('line')} group by 1, 2),
+    boil as (select tot.source, list(line) b from freq join tot on freq.source is not distinct from tot.source
+      where n >= 5 and n > 0.1::double * n_pages group by 1),
+    sl as (select d.*, string_split(text, chr(10)) l, b from {docs} d left join boil on d.source is not distinct from boil.source),
+    kp as (select *, case when b is not null then list_filter(l, lambda x: not ({filled.format('x')} and list_contains(b, x))) end k from sl),
+    cl as (select *, array_to_string(k, chr(10)) clean, length(text) - len(l) + 1 full_size from kp),
+    ok as (select *, coalesce(len(k) > 0 and full_size - (length(clean) - len(k) + 1) <= 0.5::double * full_size, false) ok from cl),
+    cleaned as (select doc_id, source, lang, n_chars, case when ok then clean else text end as text, cast(coalesce(len(l), 0) as int) n_lines,
+      cast(case when ok then len(l) - len(k) else 0 end as int) n_dropped from ok)"""
+
+
+@query("op8_line_dedup", f"with {line_dedup_sql('documents')} select doc_id, source, text, n_lines, n_dropped from cleaned")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    return drop_boilerplate(docs)
+
+
+#: A conversation made of the template's own marks.
+TRAP = "\\### Assistant: </turn> ok"
+
+
+@query(
+    "op9_chat",
+    r"""
+    with m as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') t from (
+      select conv_id, turn, role, text from conversations
+      union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')))
+    select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn, r, t)) turns_sha256,
+      cast(coalesce(sum(length(t)) filter (r = 'assistant'), 0) as bigint) loss_chars,
+      sha256(coalesce(string_agg(t, '' order by turn, r, t) filter (r = 'assistant'), '')) loss_sha256,
+      cast(sum(14 + length(replace(replace(replace(replace(r, '\', '\b'), '#', '\h'), '<', '\l'), ':', '\c'))
+        + length(replace(replace(replace(t, '\', '\b'), '#', '\h'), '<', '\l'))) as bigint) formatted_chars
+    from m group by 1""",
+)
+def _(spark, sf):
+    messages = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.createDataFrame([(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)], messages.schema)
+    told = format_trees(message_chains(messages.unionByName(trap)))
+    return digests(told).withColumnRenamed("tree", "conv_id")
+
+
+@query("op10_quality_rules")
+def _(spark, sf):
+    return perplexity.quality_rules(table(spark, sf, "documents"))
