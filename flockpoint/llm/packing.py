@@ -9,7 +9,9 @@ Rounds work on numbers only; texts are read once.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,35 +22,71 @@ from ..session import cut
 from .textbytes import blocks
 
 #: Words that a Python worker keeps with their ids before it starts anew.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 #: The id that ends every document.
 END = np.zeros(1, "<u4").tobytes()
 
 _encoders: dict[str, Encoder] = {}
 
+#: A word of these only is split here as the vocabulary's own rules split it; lower-casing and composing leave no doubt for them.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: The vocabulary's rule for parts of words, for the characters of ``_PLAIN`` in lower case.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """What stands for the UTF-8 bytes of each plain character: printable bytes for themselves, the rest from code point 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(printable)]
+    letter = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(192, 256)}
+
+
+_LETTERS = _byte_letters()
+
+
+class _Known(dict):
+    """Ids of words as little-endian 32-bit numbers, made when first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = self.make(word)
+        return ids
+
 
 class Encoder:
     """Token ids of texts, word by word.
 
-    For vocabularies that split at spaces and newlines and drop them: a text's ids are those of its words in a row.
+    For vocabularies that split at spaces and newlines and drop them: a text's ids are those of its words in a row. Plain
+    words are split into parts here, whose ids are kept as well; other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.parts = _Known(self._part)
+        self.words = _Known(self._word)
+
+    def _part(self, part: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(part.translate(_LETTERS))]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if _PLAIN.fullmatch(word) and "<|" not in word:
+            return b"".join(map(self.parts.__getitem__, _PARTS.findall(word.lower())))
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        known = self.known
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+    def ids(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of a whole text."""
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
+        if len(self.parts) > CACHED_WORDS:
+            self.parts.clear()
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def encoder(path: str) -> Encoder:
@@ -63,8 +101,9 @@ def _pieces(path: str, capacity: int, with_ids: bool):
         for batch in blocks(batches, "text"):
             texts = batch.column("text").fill_null("").to_pylist()
             owner, piece, start, length, crc, kept = [], [], [], [], [], []
-            for i, ids in enumerate(encoder(path).ids(texts)):
-                ids += END
+            encode = encoder(path).ids
+            for i, text in enumerate(texts):
+                ids = encode(text) + END
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     owner.append(i)
