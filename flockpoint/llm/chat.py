@@ -55,22 +55,27 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     known = nodes.select(F.col("id").alias("parent"))
     base = nodes.join(known, "parent", "left_semi").select("id", F.col("parent").alias("up"))
     base = nodes.select("tree", "id", F.coalesce("score", F.lit(0.0)).alias("score")).join(base, "id", "left")
-    # up: the ancestor 2^k above; score and steps of the path that ends just below it
-    jump = cut(base.select("tree", "id", "up", "score", F.lit(1).alias("steps")))
-    jumps = [jump]
-    while not jump.filter(F.col("up").isNotNull()).isEmpty():
-        above = jump.select(F.col("id").alias("__id"), F.col("up").alias("__up"), F.col("score").alias("__score"), F.col("steps").alias("__steps"))
-        jump = jump.join(above, F.col("up") == F.col("__id"), "left").select(
-            "tree", "id", F.col("__up").alias("up"), (F.col("score") + F.coalesce("__score", F.lit(0.0))).alias("score"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps")
+    # up: the ancestor 2^k above; score and steps of the path that ends just below it. A row whose path has
+    # reached its root is done and only looked up from then on, so a round makes as many rows as are open.
+    level = cut(base.select("tree", "id", "up", "score", F.lit(1).alias("steps")))
+    parents = level.select(F.col("up").alias("id")).filter("id is not null").distinct()
+    done = level.filter(F.col("up").isNull())
+    jumps = [level.filter(F.col("up").isNotNull())]
+    while not jumps[-1].isEmpty():
+        above = done.unionByName(jumps[-1]).select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("score").alias("__score"), F.col("steps").alias("__steps"))
+        level = cut(
+            jumps[-1].join(above, "up").select(
+                "tree", "id", F.col("__up").alias("up"), (F.col("score") + F.col("__score")).alias("score"), (F.col("steps") + F.col("__steps")).alias("steps")
+            )
         )
-        jump = cut(jump)
-        jumps.append(jump)
-    leaves = jump.join(jumps[0].select(F.col("up").alias("id")).filter("id is not null").distinct(), "id", "left_anti")
+        done = done.unionByName(level.filter(F.col("up").isNull()))
+        jumps.append(level.filter(F.col("up").isNotNull()))
+    leaves = done.join(parents, "id", "left_anti")
     best = Window.partitionBy("tree").orderBy(F.col("score").desc(), F.col("id"))
     leaves = leaves.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= branches)
     found = cut(leaves.select("tree", F.col("id").alias("leaf"), "rank", "id", F.col("steps").alias("depth")))
     for k in range(len(jumps) - 2, -1, -1):  # from the longest step down, every ancestor is met once
-        step = jumps[k].filter(F.col("up").isNotNull()).select("id", "up")
+        step = jumps[k].select("id", "up")
         more = found.join(step, "id").select("tree", "leaf", "rank", F.col("up").alias("id"), (F.col("depth") - (1 << k)).alias("depth"))
         found = cut(found.unionByName(more))
     return found
