@@ -14,9 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .textbytes import _offsets, blocks
 
 GRAMS = "lang string, gram long, n long"
@@ -28,17 +29,16 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds == 0
 
 
-def sample_by_label(rows: DataFrame, label: str, per_label: int, *by: str) -> DataFrame:
-    """At most about ``per_label`` rows of each label, those with the smallest hash of ``by``.
-
-    Only hashes are ranked, with a limit before the shuffle; the rows themselves are not moved.
+def sample_by_label(rows: DataFrame, label: str, per_label: int, text: str) -> DataFrame:
+    """About ``per_label`` distinct texts of each label at most, as ``(label, text)``: those whose hash falls under the
+    label's share ``per_label / rows``, so that copies of a text come once and a label's rows are never gathered to choose.
     """
-    h = F.xxhash64(*by)
-    ranked = rows.select(F.col(label).alias("__l"), h.alias("__h")).withColumn(
-        "__r", F.row_number().over(Window.partitionBy("__l").orderBy("__h"))
-    )
-    cutoffs = ranked.filter(F.col("__r") <= per_label).groupBy("__l").agg(F.max("__h").alias("__h"))
-    return rows.join(cutoffs, (F.col(label) == F.col("__l")) & (h <= F.col("__h"))).drop("__l", "__h")
+    h = F.xxhash64(text)
+    shares = rows.groupBy(F.col(label).alias("__l")).agg((F.lit(float(per_label)) / F.count(F.lit(1))).alias("__share"))
+    shares = cut(shares)  # one row per label; its true size decides how it meets the rows
+    place = F.pmod(h, F.lit(1 << 32)) / float(1 << 32)
+    chosen = rows.join(shares, (F.col(label) == F.col("__l")) & (place < F.col("__share")))
+    return chosen.select(label, text, h.alias("__h")).dropDuplicates([label, "__h"]).drop("__h")
 
 
 def windows(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
