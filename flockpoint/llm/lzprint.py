@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .textbytes import BLOCK_BYTES, blocks, mix, span_hashes
+from .textbytes import BLOCK_BYTES, blocks, mix, small_batches, span_hashes
 
 _PRINTS = "fingerprint binary, edited_fingerprint binary, edited_sha256 binary, near_edited double, near_next double"
 
@@ -168,7 +168,8 @@ def phrase_fingerprints(
     ordered = rows.repartitionByRange(parts, F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(
         F.col("id").asc_nulls_first(), F.xxhash64("text"), "text"
     )
-    done = cut(ordered.mapInArrow(_sorted_range(size), schema).withColumn("part", F.spark_partition_id()))
+    with small_batches(docs.sparkSession):
+        done = cut(ordered.mapInArrow(_sorted_range(size), schema).withColumn("part", F.spark_partition_id()))
     # one number per range that has rows, whatever the ranges hold
     heads = done.filter(F.col("edge").bitwiseAND(FIRST) > 0).select(F.col("part").alias("head"), F.col("text").alias("following"))
     order = Window.orderBy("head")

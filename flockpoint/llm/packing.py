@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .textbytes import blocks
+from .textbytes import blocks, small_batches
 
 #: Words that a Python worker keeps with their ids before it starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 #: The id that ends every document.
 END = np.zeros(1, "<u4").tobytes()
 
@@ -187,7 +187,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, nearly: float = 0.995, group_i
     items at once; ``fan_in`` groups merge into one, unless that makes it larger. Rows may repeat; an empty table stays empty.
     """
     item = F.struct("id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))
-    items = cut(pieces.select(F.col("length").alias("used"), F.array(item).alias("members")))
+    with small_batches(pieces.sparkSession):
+        items = cut(pieces.select(F.col("length").alias("used"), F.array(item).alias("members")))
     done = items.filter(F.col("used") >= capacity)
     items = items.filter(F.col("used") < capacity)
     schema = items.schema

@@ -8,12 +8,14 @@ is done per word in Python.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Bytes of text that a task looks at together; one longer text still comes whole.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 #: The white space that separates words, space and \x09-\x0D.
 _SPACE = np.zeros(256, bool)
@@ -26,6 +28,18 @@ _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """While it lasts, Spark hands texts to Python ``rows`` at a time at most: texts are long rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches into slices of about ``limit`` bytes of the column ``text``."""
     for batch in batches:
