@@ -255,19 +255,23 @@ def merge_table(vertices: DataFrame, forest: DataFrame, chunk_edges: int = CHUNK
             break
         light = large.filter(F.col("step") <= F.col("mid")).drop("n", "mid")
         heavy = large.filter(F.col("step") > F.col("mid")).drop("n", "mid")
-        ends = light.select(F.col("a").alias("id")).unionByName(light.select(F.col("b").alias("id"))).distinct()
-        comps = cut(connected_components(ends, light.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-        light = light.join(comps.select(F.col("id").alias("a"), "component"), "a")
-        ends_info = light.select(F.col("a").alias("id"), "alow", "asize").unionByName(
-            light.select(F.col("b").alias("id"), F.col("blow").alias("alow"), F.col("bsize").alias("asize"))
+        # a contracted part is named by one of its rows, so a name is distinct only inside its piece
+        own = lambda side: F.struct("piece", F.col(side).alias("id"))
+        ends = light.select(own("a").alias("id")).unionByName(light.select(own("b").alias("id"))).distinct()
+        comps = connected_components(ends, light.select(own("a").alias("src"), own("b").alias("dst")))
+        comps = cut(comps.select("id.piece", "id.id", F.col("component.id").alias("component")))
+        light = light.join(comps.withColumnRenamed("id", "a"), ["piece", "a"])
+        ends_info = light.select("piece", F.col("a").alias("id"), "alow", "asize").unionByName(
+            light.select("piece", F.col("b").alias("id"), F.col("blow").alias("alow"), F.col("bsize").alias("asize"))
         ).distinct()
         pieces = cut(
-            ends_info.join(comps, "id").groupBy("component").agg(F.min("alow").alias("clow"), F.sum("asize").alias("csize"))
-            .join(light.groupBy("component").agg(F.max("step").alias("cmade")), "component")
+            ends_info.join(comps, ["piece", "id"]).groupBy("piece", "component").agg(F.min("alow").alias("clow"), F.sum("asize").alias("csize"))
+            .join(light.groupBy("piece", "component").agg(F.max("step").alias("cmade")), ["piece", "component"])
         )
-        into = comps.join(pieces, "component")
+        into = comps.join(pieces, ["piece", "component"])
         for side in ("a", "b"):
             t = into.select(
+                "piece",
                 F.col("id").alias(side),
                 F.col("component").alias("__c"),
                 F.col("clow").alias("__l"),
@@ -275,7 +279,7 @@ def merge_table(vertices: DataFrame, forest: DataFrame, chunk_edges: int = CHUNK
                 F.col("cmade").alias("__m"),
             )
             heavy = (
-                heavy.join(t, side, "left")
+                heavy.join(t, ["piece", side], "left")
                 .withColumn(side, F.coalesce("__c", side))
                 .withColumn(f"{side}low", F.coalesce("__l", f"{side}low"))
                 .withColumn(f"{side}size", F.coalesce("__s", f"{side}size"))

@@ -66,6 +66,31 @@ def test_merge_table_in_pieces(vec):
     assert whole == parts and len(whole) == 39
 
 
+def plain_merges(n, edges):
+    """Single-linkage merges of a tree, edge by edge."""
+    low, size, made, up = list(range(n)), [1] * n, [0] * n, list(range(n))
+    find = lambda i: i if up[i] == i else find(up[i])
+    out = []
+    for step, (a, b, w) in enumerate(sorted(edges, key=lambda e: (e[2], e[0], e[1])), 1):
+        x, y = sorted((find(a), find(b)), key=lambda r: low[r])
+        out.append((step, low[x], low[y], made[x], made[y], w, size[x] + size[y]))
+        up[y], size[x], made[x] = x, size[x] + size[y], step
+    return out
+
+
+@pytest.mark.parametrize("shape,chunk", [("path", 4), ("star", 3), ("mixed", 5)])
+def test_merge_table_of_both_halves(spark, shape, chunk):
+    # both halves of the forest stay large, so names must be told apart between pieces
+    n = 33
+    rng = np.random.default_rng(5)
+    ends = {"path": lambda i: i - 1, "star": lambda i: 0, "mixed": lambda i: int(rng.integers(max(0, i - 6), i))}[shape]
+    edges = [(ends(i), i, float(i if shape == "path" else rng.integers(1, 99))) for i in range(1, n)]
+    tree = spark.createDataFrame(edges, "src bigint, dst bigint, w double")
+    verts = spark.range(n).select("id", F.lit(1).cast("bigint").alias("w"))
+    got = forest.merge_table(verts, tree, chunk_edges=chunk).orderBy("step").collect()
+    assert [tuple(r) for r in got] == plain_merges(n, edges)
+
+
 @pytest.mark.parametrize("linkage", ["average", "ward"])
 def test_agglomeration_against_greedy(vec, linkage):
     x = np.random.default_rng(9).uniform(0, 1, (18, 2))
