@@ -96,7 +96,6 @@ def xy(df, *keep, col="features"):
 
 PART = "p as (select p_partkey id, p_size/50.0::double x, (p_retailprice-900)/100 y, p_size%7 as label from part)"
 CUST = "c as (select c_custkey id, c_acctbal x from customer)"
-LOC = "loc as (select min(id) id, count(*) w, x, y from p group by x, y)"
 D2 = "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))"
 EPS, MIN_PTS, K = 0.03, 8, 6
 NEIGH = f"neigh as (select a.id a, b.id b, {D2} d from p a join p b on {D2} <= {EPS})"
@@ -283,8 +282,8 @@ def _(spark, sf):
 
 @query(
     "sorted_neighbours",
-    f"with {PART}, {LOC} select a.id src, row_number() over (partition by a.id order by {D2}, b.id) as rank, b.id dst, round({D2},6) dist "
-    f"from loc a join loc b on {D2} <= {EPS}",
+    f"with {PART} select a.id src, row_number() over (partition by a.id order by {D2}, b.id) as rank, b.id dst, round({D2},6) dist "
+    f"from p a join p b on {D2} <= {EPS}",
 )
 def _(spark, sf):
     return neighbours.sorted_neighbours(part2d(spark, sf), EPS).withColumn("dist", r6("dist"))
@@ -346,20 +345,20 @@ def _(spark, sf):
 
 @query(
     "pair_distances",
-    f"with {PART}, {LOC} select a.id src, b.id dst, round({D2},6) dist from loc a join loc b on a.id < b.id and {D2} <= {EPS}",
+    f"with {PART} select a.id src, b.id dst, round({D2},6) dist from p a join p b on a.id < b.id and {D2} <= {EPS}",
 )
 def _(spark, sf):
     return neighbours.pair_distances(part2d(spark, sf), EPS).withColumn("dist", r6("dist"))
 
 
-@query("threshold_graph", f"with {PART}, {LOC} select a.id src, b.id dst from loc a join loc b on a.id < b.id and {D2} < {EPS}")
+@query("threshold_graph", f"with {PART} select a.id src, b.id dst from p a join p b on a.id < b.id and {D2} < {EPS}")
 def _(spark, sf):
     return neighbours.threshold_graph(part2d(spark, sf), EPS)
 
 
 @query(
     "near_in_every_axis",
-    f"with {PART}, {LOC} select a.id src, b.id dst from loc a join loc b on a.id < b.id and abs(a.x-b.x) <= 0.02 and abs(a.y-b.y) <= 0.02",
+    f"with {PART} select a.id src, b.id dst from p a join p b on a.id < b.id and abs(a.x-b.x) <= 0.02 and abs(a.y-b.y) <= 0.02",
 )
 def _(spark, sf):
     return neighbours.near_in_metric(part2d(spark, sf), 0.02)
@@ -384,7 +383,7 @@ def _(spark, sf):
     return neighbours.k_distance(part2d(spark, sf), 5).select("rank", r6("k_dist").alias("k_dist"))
 
 
-CLOSE = f"with {PART}, {LOC}, pair as (select a.id src, b.id dst, {D2} d from loc a join loc b on a.id < b.id and {D2} <= {EPS})"
+CLOSE = f"with {PART}, pair as (select a.id src, b.id dst, {D2} d from p a join p b on a.id < b.id and {D2} <= {EPS})"
 
 
 @query("closest_pair", f"{CLOSE} select src, dst, round(d,6) dist from pair order by d, src, dst limit 1")
@@ -814,20 +813,20 @@ def _(spark, sf):
     return out.withColumn("v", r6("v"))
 
 
-E_THR = f"e as (select a.id a, b.id b from loc a join loc b on a.id <> b.id and {D2} < 0.02)"
-CC = components_sql("e", "loc")
+E_THR = f"e as (select a.id a, b.id b from p a join p b on a.id <> b.id and {D2} < 0.02)"
+CC = components_sql("e", "p")
 
 
-@query("connected_components", f"with recursive {PART}, {LOC}, {E_THR}, {CC} select id, comp as component from cc")
+@query("connected_components", f"with recursive {PART}, {E_THR}, {CC} select id, comp as component from cc")
 def _(spark, sf):
-    ix = neighbours.index_of(part2d(spark, sf))
-    return components.connected_components(ix.points.select(F.col("pid").alias("id")), neighbours.threshold_graph(ix, 0.02))
+    p = part2d(spark, sf)
+    return components.connected_components(p.select("id"), neighbours.threshold_graph(p, 0.02))
 
 
-@query("component_count", f"with recursive {PART}, {LOC}, {E_THR}, {CC} select count(distinct comp) n_components from cc")
+@query("component_count", f"with recursive {PART}, {E_THR}, {CC} select count(distinct comp) n_components from cc")
 def _(spark, sf):
-    ix = neighbours.index_of(part2d(spark, sf))
-    return components.component_count(ix.points.select(F.col("pid").alias("id")), neighbours.threshold_graph(ix, 0.02))
+    p = part2d(spark, sf)
+    return components.component_count(p.select("id"), neighbours.threshold_graph(p, 0.02))
 
 
 E_LAB = "e as (select src a, dst b from edge join p s on s.id = src join p t on t.id = dst where s.label = t.label union all select dst, src from edge join p s on s.id = src join p t on t.id = dst where s.label = t.label)"
@@ -855,7 +854,7 @@ def _(spark, sf):
     return f.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 4).alias("weight"))
 
 
-@query("spanning_forest_of_graph", f"with recursive {PART}, {LOC}, {E_THR}, {CC} select (select count(*) from loc) - count(distinct comp) as n_edges from cc")
+@query("spanning_forest_of_graph", f"with recursive {PART}, {E_THR}, {CC} select (select count(*) from p) - count(distinct comp) as n_edges from cc")
 def _(spark, sf):
     e = neighbours.pair_distances(part2d(spark, sf), 0.02).filter("dist < 0.02")
     return forest.spanning_forest(e.withColumnRenamed("dist", "w")).agg(F.count(F.lit(1)).alias("n_edges"))
@@ -1116,11 +1115,12 @@ def _run_stream(spark, sf, frame_of, mode):
     out = frame_of(stream)
 
     def save(batch, number):
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/rows")
+        # a retried batch replaces its own rows; in complete mode every batch is the whole result
+        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={0 if mode == 'complete' else number}")
 
     run = out.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).foreachBatch(save).start()
     run.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/rows")
+    return spark.read.parquet(f"{base}/rows").drop("batch").select(*out.columns)
 
 
 @query("streamed_features", WIN)

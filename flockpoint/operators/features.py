@@ -58,15 +58,16 @@ def grow_threshold(points: DataFrame, diameter: float, growth: float = 1.5, max_
         diameter *= growth
 
 
-def absorb(cfs: DataFrame, threshold: float, rounds: int = 10) -> DataFrame:
-    """Merge neighbouring cells while the merged diameter stays within ``threshold``.
+def absorb(cfs: DataFrame, threshold: float) -> DataFrame:
+    """Merge neighbouring cells until no merged diameter stays within ``threshold``.
 
     In each round the pairs that are one another's best partner merge; the entry keeps
-    the smaller cell as its name.
+    the smaller cell as its name. Equal diameters are told apart by a hash of the pair, so that
+    many pairs of a regular grid merge at once; the best pair of all always does.
     """
     dim = _dim(cfs)
     cur = cut(cfs)
-    for _ in range(rounds):
+    while True:
         a = cur.select("cell", F.col("cell").alias("a"), F.struct("n", "ls", "ss").alias("x"))
         b = cur.select("cell", F.struct("n", "ls", "ss").alias("y"))
         pairs = near_cells(a, b, ["a", "x"], 1).filter(F.col("a") != F.col("cell"))
@@ -76,7 +77,7 @@ def absorb(cfs: DataFrame, threshold: float, rounds: int = 10) -> DataFrame:
             "a", F.col("cell").alias("b"), V.cf_diameter(n, ls, F.col("x.ss") + F.col("y.ss")).alias("diameter")
         ).filter(F.col("diameter") <= F.lit(threshold))
         best = pairs.groupBy("a").agg(
-            F.min(F.struct("diameter", F.least(F.col("a"), F.col("b")).alias("lo"), F.greatest(F.col("a"), F.col("b")).alias("hi"))).alias("p")
+            F.min(F.struct("diameter", F.xxhash64(F.least("a", "b"), F.greatest("a", "b")).alias("h"), F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))).alias("p")
         )
         both = best.groupBy("p.lo", "p.hi").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == 2)
         moves = cut(both.select(F.col("hi").alias("cell"), F.col("lo").alias("into")))
@@ -84,7 +85,6 @@ def absorb(cfs: DataFrame, threshold: float, rounds: int = 10) -> DataFrame:
             return cur
         moved = cur.join(moves, "cell", "left").withColumn("cell", F.coalesce("into", "cell")).drop("into")
         cur = cut(merge_features(moved, "cell"))
-    return cur
 
 
 def leaf_entries(cfs: DataFrame) -> DataFrame:

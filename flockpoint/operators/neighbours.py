@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import attach, cut
+from ..session import attach, cut, split_join
 from .blocks import (
     FANOUT_BITS,
     BlockIndex,
@@ -48,7 +48,20 @@ def eps_pairs(points: DataFrame | BlockIndex, eps: float) -> DataFrame:
     )
 
 
-def eps_join(left: DataFrame, right: DataFrame, eps: float) -> DataFrame:
+def _with_rows(ix: BlockIndex, pairs: DataFrame, **ends: str) -> DataFrame:
+    """Replace location columns of ``pairs`` by the rows there: ``ends`` maps a column to its row column.
+
+    A location with many rows or many pairs is split on both sides of the join.
+    """
+    if not ix.has_copies:
+        return pairs.withColumnsRenamed(ends)
+    copies = cut(ix.copies())
+    for location, row in ends.items():
+        pairs = split_join(cut(pairs), copies.select(F.col("pid").alias(location), F.col("id").alias(row)), location).drop(location)
+    return pairs
+
+
+def eps_join(left: DataFrame | BlockIndex, right: DataFrame | BlockIndex, eps: float) -> DataFrame:
     """For each row of ``left`` its neighbours in ``right``: ``(left_id, right_id, dist)``.
 
     The pairs are found between locations; rows are put back by joins whose hot
@@ -57,23 +70,21 @@ def eps_join(left: DataFrame, right: DataFrame, eps: float) -> DataFrame:
     a, b = index_of(left), index_of(right)
     leaves, _ = walk_pairs(a, b, within(eps))
     pairs = point_pairs(a.points, b.points, leaves, a.dim, eps, ["pid"], ["pid"]).select("p_pid", "q_pid", "dist")
-    if a.has_copies:
-        rows = a.copies().select(F.col("id").alias("left_id"), F.col("pid").alias("p_pid"))
-        pairs = pairs.join(rows, "p_pid")
-    else:
-        pairs = pairs.withColumn("left_id", F.col("p_pid"))
-    if b.has_copies:
-        rows = b.copies().select(F.col("id").alias("right_id"), F.col("pid").alias("q_pid"))
-        pairs = pairs.join(rows, "q_pid")
-    else:
-        pairs = pairs.withColumn("right_id", F.col("q_pid"))
+    pairs = _with_rows(b, _with_rows(a, pairs, p_pid="left_id"), q_pid="right_id")
     return pairs.select("left_id", "right_id", "dist")
 
 
+def row_pairs(points: DataFrame | BlockIndex, eps: float) -> DataFrame:
+    """Row pairs within ``eps`` in both directions, self pairs and copies included: ``(src, dst, dist)``."""
+    ix = index_of(points)
+    pairs = eps_pairs(ix, eps).select(F.col("src").alias("p"), F.col("dst").alias("q"), "dist")
+    return _with_rows(ix, pairs, p="src", q="dst").select("src", "dst", "dist")
+
+
 def sorted_neighbours(points: DataFrame | BlockIndex, eps: float) -> DataFrame:
-    """Neighbour locations of each location, nearest first: ``(src, rank, dst, dist)``."""
+    """Neighbours of each row, itself included, nearest first: ``(src, rank, dst, dist)``."""
     order = W.partitionBy("src").orderBy("dist", "dst")
-    return eps_pairs(points, eps).select("src", F.row_number().over(order).alias("rank"), "dst", "dist")
+    return row_pairs(points, eps).select("src", F.row_number().over(order).alias("rank"), "dst", "dist")
 
 
 def _cascade(ix: BlockIndex, own: DataFrame, fold, name: str) -> DataFrame:
@@ -265,17 +276,20 @@ def k_distance(points: DataFrame | BlockIndex, k: int) -> DataFrame:
 
 
 def pair_distances(points: DataFrame | BlockIndex, max_dist: float) -> DataFrame:
-    """The long form of a distance matrix up to ``max_dist``: ``(src, dst, dist)``, ``src < dst``."""
-    return eps_pairs(points, max_dist).filter(F.col("src") < F.col("dst")).select("src", "dst", "dist")
+    """The long form of a distance matrix of the rows up to ``max_dist``: ``(src, dst, dist)``, ``src < dst``.
+
+    Rows at one place are pairs at distance 0.
+    """
+    return row_pairs(points, max_dist).filter(F.col("src") < F.col("dst"))
 
 
 def threshold_graph(points: DataFrame | BlockIndex, eps: float) -> DataFrame:
-    """Unweighted edges between locations closer than ``eps``."""
+    """Unweighted edges between rows closer than ``eps``."""
     return pair_distances(points, eps).filter(F.col("dist") < F.lit(float(eps))).select("src", "dst")
 
 
 def near_in_metric(points: DataFrame | BlockIndex, tol: float) -> DataFrame:
-    """Location pairs that agree within ``tol`` on every axis: ``(src, dst)``, ``src < dst``.
+    """Row pairs that agree within ``tol`` on every axis: ``(src, dst)``, ``src < dst``; rows at one place do.
 
     The tree test on boxes is done per axis, so no euclidean ball is needed.
     """
@@ -289,13 +303,13 @@ def near_in_metric(points: DataFrame | BlockIndex, tol: float) -> DataFrame:
         ],
     )
     leaves, _ = walk_pairs(ix, ix, meets)
-    p = ix.points.select("block", F.col("pid").alias("src"), F.col("features").alias("pf"))
-    q = ix.points.select(F.col("block").alias("q_block"), F.col("pid").alias("dst"), F.col("features").alias("qf"))
-    return (
+    p = ix.points.select("block", F.col("pid").alias("p"), F.col("features").alias("pf"))
+    q = ix.points.select(F.col("block").alias("q_block"), F.col("pid").alias("q"), F.col("features").alias("qf"))
+    pairs = (
         leaves.select("a_node", "b_node")
         .join(p, F.col("a_node") == F.col("block"))
         .join(q, F.col("b_node") == F.col("q_block"))
-        .filter(F.col("src") < F.col("dst"))
         .filter(V.chebyshev("pf", "qf", d) <= F.lit(float(tol)))
-        .select("src", "dst")
+        .select("p", "q")
     )
+    return _with_rows(ix, pairs, p="src", q="dst").filter(F.col("src") < F.col("dst")).select("src", "dst")

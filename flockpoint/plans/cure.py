@@ -98,8 +98,10 @@ def merge_representatives(
 
     Closest pairs by representatives merge one at a time inside a part. While there are
     more clusters than one part holds, every part is cut down to 1/q of its clusters and
-    the survivors are dealt into fewer parts; the last pass is one bounded part.
+    the survivors are dealt into fewer parts; the last pass is one bounded part. A part keeps at
+    least 2k clusters, so parts of fewer than ``4 k q`` rows are made that large: every pass then merges.
     """
+    part_rows = max(part_rows, 4 * k * q)
     cur = points.select(
         F.col("id").alias("cid"), F.lit(1).cast("bigint").alias("n"), F.col("features").alias("ls"), F.array("features").alias("reps")
     )

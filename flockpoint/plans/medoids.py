@@ -27,19 +27,22 @@ def _frame(points: DataFrame, rows) -> DataFrame:
 
 def distant_start(points: DataFrame, k: int, low: float = 0.8, high: float = 0.99, seed: int = 42) -> list:
     """Starting medoids: one by hash, then rows whose distance to the nearest medoid lies in
-    the quantile band ``low..high``, picked by hash. Returns ``[(id, features)]``."""
+    the quantile band ``low..high`` of the rows elsewhere, picked by hash. Returns ``[(id, features)]``.
+
+    Rows at the place of a medoid are never chosen, so no two medoids share one; fewer than ``k`` places raise."""
     if not 0 <= low <= high < 1:
         raise ValueError("the band needs 0 <= low <= high < 1")
     first = points.orderBy(sample_key(seed), "id").select("id", "features").first()
     chosen = [(first["id"], first["features"])]
     while len(chosen) < k:
         near = assign_nearest(points, _frame(points, chosen)).select("id", "dist")
-        a, b = near.agg(F.percentile_approx("dist", [low, high], 10_000).alias("q")).first()["q"]
-        taken = [c[0] for c in chosen]
-        band = near.filter((F.col("dist") >= a) & (F.col("dist") <= b) & ~F.col("id").isin(taken))
-        pick = band.agg(F.min(F.struct(sample_key(seed + len(chosen)), "id")).alias("p")).first()["p"]
-        if pick is None:
-            break
+        near = near.filter(F.col("dist") > 0)
+        band = near.agg(F.percentile_approx("dist", [low, high], 10_000).alias("q")).first()["q"]
+        if band is None:
+            raise ValueError(f"{k} medoids need as many places; there are {len(chosen)}")
+        # the quantiles are distances of rows, so the band is never empty
+        near = near.filter(F.col("dist").between(*band))
+        pick = near.agg(F.min(F.struct(sample_key(seed + len(chosen)), "id")).alias("p")).first()["p"]
         row = points.filter(F.col("id") == pick["id"]).select("id", "features").first()
         chosen.append((row["id"], row["features"]))
     return chosen

@@ -86,15 +86,12 @@ def attach(
 ) -> DataFrame:
     """Join ``big`` with a table that has one row per key and knows each key's row count.
 
-    Keys with more than ``hot_rows`` rows are split: both sides get a salt, the table
-    row is repeated once per salt. At most 1000 keys are treated, since any key outside
-    the 1000 largest holds less than a thousandth of the rows; so the broadcast list of
-    hot keys is bounded whatever the size of the data.
+    Every key with more than ``hot_rows`` rows is split: both sides get a salt, the table
+    row is repeated once per salt. There are at most ``rows / hot_rows`` such keys, a million
+    for 10^12 rows at the default; that bounds the broadcast list.
     """
     hot = (
         table.select(key, F.col(weight).alias("__w"))
-        .orderBy(F.col("__w").desc(), F.col(key))
-        .limit(1000)
         .filter(F.col("__w") > hot_rows)
         .select(key, F.ceil(F.col("__w") / F.lit(hot_rows)).cast("int").alias("__salts"))
     )
@@ -111,17 +108,15 @@ def attach(
 
 def _hot_keys(df: DataFrame, key: str, rows: int, name: str) -> DataFrame:
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    top = counts.orderBy(F.col("__n").desc(), F.col(key)).limit(1000).filter(F.col("__n") > rows)
-    return top.select(key, F.ceil(F.col("__n") / F.lit(rows)).cast("int").alias(name))
+    return counts.filter(F.col("__n") > rows).select(key, F.ceil(F.col("__n") / F.lit(rows)).cast("int").alias(name))
 
 
-def split_join(left: DataFrame, right: DataFrame, key: str, rows: int = 100_000) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, key: str, rows: int = 1_000_000) -> DataFrame:
     """Inner join on a key that may be hot on both sides.
 
     A key with more than ``rows`` rows on a side is cut into chunks there, and the other
     side repeats its rows of that key once per chunk; every task sees a bounded piece of
-    either side. At most 1000 keys per side are treated this way (any other key holds
-    less than a thousandth of the rows).
+    either side. There are at most ``size / rows`` such keys per side, which bounds the broadcast list.
     """
     hot = _hot_keys(left, key, rows, "__l").join(_hot_keys(right, key, rows, "__r"), key, "full")
     hot = F.broadcast(hot.select(key, F.coalesce("__l", F.lit(1)).alias("__l"), F.coalesce("__r", F.lit(1)).alias("__r")))

@@ -110,9 +110,18 @@ def sample_key(seed: int, *more: Column) -> Column:
     return F.xxhash64(F.col("id"), F.lit(int(seed)), *more)
 
 
-def sample_n(points: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows drawn without replacement; the same rows for the same seed."""
-    return points.orderBy(sample_key(seed), F.col("id")).limit(n)
+def sample_n(points: DataFrame, n: int, seed: int = 42, top_rows: int = 10_000) -> DataFrame:
+    """``n`` rows drawn without replacement; the same rows for the same seed.
+
+    Up to ``top_rows`` come from the tasks' tops; more are numbered by a distributed sort. Either
+    way these are the first ``n`` by hash.
+    """
+    if n <= top_rows:
+        return points.orderBy(sample_key(seed), F.col("id")).limit(n)
+    from ..session import numbered
+
+    rows, _, _ = numbered(points, sample_key(seed), F.col("id"), name="__pos")
+    return with_dim(rows.filter(F.col("__pos") < n).drop("__pos"), dim_of(points))
 
 
 def sample_share(points: DataFrame, share: float, seed: int = 42) -> DataFrame:
