@@ -673,17 +673,36 @@ def _(spark, sf):
     return s.select("label", "n", r6(F.col("low")[0]).alias("x0"), r6(F.col("high")[1]).alias("y1"), r6(F.col("centre")[0]).alias("cx"), "medoid")
 
 
-@query("scattered_reps")
+def _reps_sql(rule: str, c: int = 4) -> str:
+    """CTEs r1..rc, one representative per label and round, and reps(label, rank, id, x, y) before shrinking."""
+    gap = lambda n: f"sqrt((p.x-{n}.x)*(p.x-{n}.x)+(p.y-{n}.y)*(p.y-{n}.y))"
+    out = [f"{PART}, ctr as (select label, avg(x) x, avg(y) y from p group by 1)"]
+    for i in range(1, c + 1):
+        before = [f"r{j}" for j in range(1, i)]
+        gaps = [gap(n) for n in before] or [gap("ctr")]
+        score = "+".join(gaps) if rule == "sum" else f"least({', '.join(gaps)})"
+        joins = " ".join(f"join {n} on {n}.label = p.label" for n in before or ["ctr"])
+        fresh = " and ".join(f"p.id <> {n}.id" for n in before) or "true"
+        out.append(
+            f"r{i} as (select label, id, x, y from (select p.*, row_number() over (partition by p.label order by {score} desc, p.id) r "
+            f"from p {joins} where {fresh}) where r = 1)"
+        )
+    out.append("reps as (" + " union all ".join(f"select {i} as rank, * from r{i}" for i in range(1, c + 1)) + ")")
+    out.append("shr as (select reps.label, rank, id, reps.x+0.3*(ctr.x-reps.x) x, reps.y+0.3*(ctr.y-reps.y) y from reps join ctr on ctr.label = reps.label)")
+    return "with " + ", ".join(out)
+
+
+@query("scattered_reps", _reps_sql("sum") + " select label, rank::int as rank, id, round(x,6) x, round(y,6) y from shr")
 def _(spark, sf):
     return xy(summaries.scattered_reps(labelled(spark, sf), 4, 0.3), "label", "rank", "id", col="rep")
 
 
-@query("scattered_reps_maxmin")
+@query("scattered_reps_maxmin", _reps_sql("maxmin") + " select label, rank::int as rank, id, round(x,6) x, round(y,6) y from shr")
 def _(spark, sf):
     return xy(summaries.scattered_reps(labelled(spark, sf), 4, 0.3, "maxmin"), "label", "rank", "id", col="rep")
 
 
-@query("rep_distance")
+@query("rep_distance", _reps_sql("sum") + f" select a.label ci, b.label cj, round(min({D2}),6) dist from shr a join shr b on a.label < b.label group by 1, 2")
 def _(spark, sf):
     reps = summaries.scattered_reps(labelled(spark, sf), 4, 0.3)
     return summaries.rep_distance(reps, 2).withColumn("dist", r6("dist"))
@@ -791,9 +810,13 @@ def _(spark, sf):
     return graphs.adjacency(p, neighbours.knn_graph(p, K, mutual=True))
 
 
-@query("degrees", f"with {PART}, {KNN}, {EDGE} select id, count(*) degree from (select src id from edge union all select dst from edge) group by id")
+@query(
+    "degrees",
+    f"with {PART}, {KNN}, {EDGE} select id, count(*) degree, round(ln(sum(1/greatest(d,1e-12))),6) log_strength "
+    "from (select src id, d from edge union all select dst, d from edge) group by id",
+)
 def _(spark, sf):
-    return graphs.degrees(graph(spark, sf)).select("id", "degree")
+    return graphs.degrees(graph(spark, sf)).select("id", "degree", r6(F.log("strength")).alias("log_strength"))
 
 
 LAP = "both_e as (select src i, dst j from edge union all select dst, src from edge), deg as (select i, count(*) g from both_e group by i)"
@@ -993,18 +1016,38 @@ def _(spark, sf):
     return parts.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
 
+SUPP_RUNS = (
+    "u as (select s_acctbal x, min(s_suppkey) id, count(*) c from supplier group by 1), "
+    "o as (select *, row_number() over (order by x) pos, x - lag(x) over (order by x) d from u), "
+    "mg as (select pos, d, row_number() over (order by d, x) step from o where d is not null), "
+    "runs as (select m.step, m.d, m.pos, coalesce((select max(l.pos) from mg l where l.pos < m.pos and l.step > m.step), 1) lo, "
+    "coalesce((select min(r.pos) from mg r where r.pos > m.pos and r.step > m.step), (select max(pos) + 1 from o)) hi from mg m)"
+)
+
+
+@query(
+    "single_linkage_merges",
+    f"with {SUPP_RUNS}, parts as (select step, runs.d d, min(id) filter (o.pos < runs.pos) l, min(id) filter (o.pos >= runs.pos) r, sum(c)::bigint size "
+    "from runs join o on o.pos >= lo and o.pos < hi group by 1, 2) "
+    'select step, least(l, r) "left", greatest(l, r) "right", round(d,6) height, size from parts',
+)
+def _(spark, sf):
+    m = agglomerative.agglomerate(supp1d(spark, sf), "single")
+    return m.select("step", "left", "right", r6("height").alias("height"), "size")
+
+
 @query(
     "cluster_of_step",
-    f"with {SUPP_GAPS}, top as (select max(step) s from mg), cutp as (select gp.x from gp, (select d from mg, top where step = s) t where gp.d = t.d) "
-    "select s_suppkey id from supplier",
+    f"with {SUPP_RUNS} select s_suppkey id from runs join o on o.pos >= lo and o.pos < hi join supplier on s_acctbal = o.x "
+    "where step = (select max(step) * 9 // 10 from mg)",
 )
 def _(spark, sf):
-    """Rows under the last merge: all of them."""
+    """Rows of the cluster that a late merge makes."""
     s = supp1d(spark, sf)
     m = cut(agglomerative.agglomerate(s, "single"))
     ix = neighbours.index_of(s)
-    last = m.agg(F.max("step")).first()[0]
-    found = forest.members_of_step(ix.points.select(F.col("pid").alias("id")), m, last)
+    step = m.agg(F.max("step")).first()[0] * 9 // 10
+    found = forest.members_of_step(ix.points.select(F.col("pid").alias("id")), m, step)
     return ix.spread(found.withColumnRenamed("id", "pid"))
 
 
