@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .langid import sample_by_label
 from .textbytes import Texts, blocks, mix, span_hashes, sums_by
 
 UNKNOWN = "unknown"
@@ -236,9 +237,10 @@ def fit(negatives: list[str], copies: int = 40, least: float = 0.75, rounds: int
 
 
 def sample_paragraphs(docs: DataFrame, text_col: str = "text", documents: int = 500) -> list[str]:
-    """Paragraphs of at most ``documents`` whole texts, chosen by hash: the unknown class."""
-    few = docs.select(F.col(text_col).alias("text")).filter(F.length("text") > 0).orderBy(F.xxhash64("text"), F.length("text")).limit(documents)
-    return sorted(line for r in few.collect() for line in r["text"].split("\n") if line.strip())
+    """Paragraphs of about ``documents`` distinct whole texts at most, chosen by hash: the unknown class."""
+    rows = docs.select(F.lit("any").alias("label"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
+    few = sample_by_label(rows, "label", documents, "text").select("text").collect()
+    return sorted(line for r in few for line in r["text"].split("\n") if line.strip())
 
 
 def _scan(shared, keep):
