@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .textbytes import blocks, small_batches
 
-#: Words that a Python worker keeps with their ids before it starts anew.
-CACHED_WORDS = 300_000
+#: Words, and parts of words, that a Python worker keeps with their ids before it starts anew.
+CACHED_WORDS = 250_000
+CACHED_PARTS = 450_000
 #: The id that ends every document.
 END = np.zeros(1, "<u4").tobytes()
 
@@ -73,9 +74,12 @@ class Encoder:
         self.words = _Known(self._word)
 
     def _part(self, part: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(part.translate(_LETTERS))]).tobytes()
+        part = part if part.isascii() else part.translate(_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.parts[word.lower()]
         if _PLAIN.fullmatch(word) and "<|" not in word:
             return b"".join(map(self.parts.__getitem__, _PARTS.findall(word.lower())))
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
@@ -84,7 +88,7 @@ class Encoder:
         """Little-endian 32-bit ids of a whole text."""
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
-        if len(self.parts) > CACHED_WORDS:
+        if len(self.parts) > CACHED_PARTS:
             self.parts.clear()
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
