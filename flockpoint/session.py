@@ -83,19 +83,20 @@ def attach(
     weight: str,
     hot_rows: int = 1_000_000,
     how: str = "inner",
+    by: str | None = None,
 ) -> DataFrame:
     """Join ``big`` with a table that has one row per key and knows each key's row count.
 
     Every key with more than ``hot_rows`` rows is split: both sides get a salt, the table
     row is repeated once per salt. There are at most ``rows / hot_rows`` such keys, a million
-    for 10^12 rows at the default; that bounds the broadcast list.
+    for 10^12 rows at the default; that bounds the broadcast list. The salt is a hash of column ``by``, else of all columns.
     """
     hot = (
         table.select(key, F.col(weight).alias("__w"))
         .filter(F.col("__w") > hot_rows)
         .select(key, F.ceil(F.col("__w") / F.lit(hot_rows)).cast("int").alias("__salts"))
     )
-    hashed = F.xxhash64(*[c for c in big.columns if c != key])
+    hashed = F.xxhash64(*([by] if by else [c for c in big.columns if c != key]))
     left = big.join(F.broadcast(hot), key, "left").withColumn(
         "__salt",
         F.when(F.col("__salts").isNull(), F.lit(0)).otherwise(F.pmod(hashed, F.col("__salts")).cast("int")),
