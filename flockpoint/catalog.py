@@ -548,6 +548,30 @@ def _(spark, sf):
     return assign.assign_nearest(part2d(spark, sf), centers(spark, sf), k=2).withColumn("dist", r6("dist"))
 
 
+@query(
+    "nearest_by_own_metric",
+    f"with {PART}, {MED}, d as (select p.id, center, greatest(abs(p.x-m.x), 3*abs(p.y-m.y)) d from p join m on true), "
+    "r as (select *, row_number() over (partition by id order by d, center) r from d) select id, 1 as rank, center, round(d,6) dist from r where r = 1",
+)
+def _(spark, sf):
+    """A distance of the caller's, written with Column functions."""
+    own = lambda a, b: F.greatest(F.abs(a[0] - b[0]), F.abs(a[1] - b[1]) * 3)
+    return assign.assign_nearest(part2d(spark, sf), centers(spark, sf), own).withColumn("dist", r6("dist"))
+
+
+@query("read_points", "select c_custkey id, round(c_acctbal,6) x, c_nationkey::double y from customer")
+def _(spark, sf):
+    return xy(S.read_points(spark, f"{sf}/customer.parquet", "c_custkey", ["c_acctbal", "c_nationkey"]), "id")
+
+
+@query("written_labels", "select p_partkey id, (p_size%7)::int as label from part")
+def _(spark, sf):
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/labels-{uuid.uuid4().hex}"
+    S.write_labels(maker(spark, sf), path)
+    return spark.read.parquet(path)
+
+
 @query(
     "nearest_supplier",
     "select id, 1 as rank, center, round(d,6) dist from (select c_custkey id, s_suppkey center, abs(c_acctbal-s_acctbal) d, "
@@ -1016,6 +1040,14 @@ def _(spark, sf):
     return parts.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("cut_merges", f"with {CUT_1D} z as (select id, min(id) over (partition by grp) component from br) select id, component as label from z")
+def _(spark, sf):
+    """The same seven clusters by undoing the last merges of the tree; a location's smallest row stands for it."""
+    pts = cust1d(spark, sf)
+    places = pts.groupBy("features").agg(F.min("id").alias("id")).select("id")
+    return agglomerative.cut_merges(places, cut(agglomerative.single_linkage(pts)), k=7)
+
+
 SUPP_RUNS = (
     "u as (select s_acctbal x, min(s_suppkey) id, count(*) c from supplier group by 1), "
     "o as (select *, row_number() over (order by x) pos, x - lag(x) over (order by x) d from u), "
@@ -1116,6 +1148,11 @@ def _(spark, sf):
     return spectral.spectral(part2d(spark, sf), 3)
 
 
+@query("spectral_kmeans")
+def _(spark, sf):
+    return spectral.spectral_kmeans(part2d(spark, sf), 3)
+
+
 @query("denclue")
 def _(spark, sf):
     out = denclue.denclue(user2d(spark, sf), s=0.1, xi=2, xi_c=3, tol=0.1, delta=0.05)
@@ -1171,6 +1208,15 @@ def _(spark, sf):
     return _flat_windows(_run_stream(spark, sf, lambda s: windowed_features(s, "ts", ["value"], 50.0, "1 day"), "complete"))
 
 
+@query(
+    "closed_windows",
+    f"select * from ({WIN}) where window_start + 86400 <= (select max(ts) - interval '10 minutes' from events).epoch()",
+)
+def _(spark, sf):
+    """Windows that the watermark has passed; their state is gone, and rows that come later are left out."""
+    return _flat_windows(_run_stream(spark, sf, lambda s: windowed_features(s, "ts", ["value"], 50.0, "1 day"), "append"))
+
+
 @query(
     "streamed_assignment",
     "select event_id id, center, round(d,6) dist from (select event_id, n_nationkey center, abs(value-n_nationkey*20) d, row_number() over (partition by event_id order by abs(value-n_nationkey*20), n_nationkey) r "

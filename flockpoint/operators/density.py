@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,12 @@ from ..sources.points import as_points, dim_of
 from .blocks import BlockIndex, point_pairs, walk_pairs, within
 from .neighbours import index_of, neighbour_counts
 
-CUTOFF = 8.7  # in units of s; the kernel is below double rounding beyond it
+ERROR = 1e-16  # what all left-out terms of a sum may come to together
+
+
+def reach(s: float, n_rows: int, error: float = ERROR) -> float:
+    """The distance beyond which the gaussian terms of ``n_rows`` rows sum to at most ``error``."""
+    return s * math.sqrt(max(2.0 * math.log(max(n_rows, 1) / error), 0.0))
 
 
 def _kernel_sums(targets: BlockIndex, data: BlockIndex, radius: float, influence) -> DataFrame:
@@ -29,16 +36,17 @@ def _kernel_sums(targets: BlockIndex, data: BlockIndex, radius: float, influence
 
 
 def gaussian_density(
-    points: DataFrame | BlockIndex, s: float, targets: DataFrame | None = None, cutoff: float = CUTOFF
+    points: DataFrame | BlockIndex, s: float, targets: DataFrame | None = None, error: float = ERROR
 ) -> DataFrame:
     """``(id, density, gradient)`` of the gaussian kernel sum at each row (or target row).
 
-    Point pairs are met block by block and summed before the shuffle.
+    Point pairs are met block by block and summed before the shuffle. Pairs are left out where the terms
+    of the whole table could not add more than ``error`` to a density.
     """
     data = index_of(points)
     at = data if targets is None else index_of(targets)
     scale = F.lit(2.0 * s * s)
-    return at.spread(_kernel_sums(at, data, cutoff * s, lambda d: F.exp(-(d * d) / scale)))
+    return at.spread(_kernel_sums(at, data, reach(s, data.n_rows, error), lambda d: F.exp(-(d * d) / scale)))
 
 
 def square_wave_density(points: DataFrame | BlockIndex, s: float) -> DataFrame:

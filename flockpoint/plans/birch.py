@@ -36,5 +36,6 @@ def birch(
     order, _, _ = numbered(heads, F.col("component"), name="label")
     named = parts.join(order, "component").select(F.col("id").alias("entry"), F.col("label").cast("int").alias("label"))
     near = assign_nearest(points, centres.select(F.col("id").alias("center"), "features"))
-    labels = near.select("id", F.col("center").alias("entry"), "dist").join(named, "entry").select("id", "label", "entry", "dist")
+    # at most max_entries rows
+    labels = near.select("id", F.col("center").alias("entry"), "dist").join(F.broadcast(named), "entry").select("id", "label", "entry", "dist")
     return labels, entries.join(named, "entry")

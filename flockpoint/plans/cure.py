@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.assign import assign_nearest
-from ..session import cut, numbered
+from ..session import attach, cut, numbered
 from ..sources.points import dim_of, sample_key, sample_n
 
 PART_ROWS = 1_000  # clusters merged inside one task
@@ -113,8 +113,8 @@ def merge_representatives(
         merge = _part_merger(c, alpha, 0.0 if last else 1.0 / q, k if last else max(2 * k, 1))
         tagged = ranked.withColumn("part", F.floor(F.col("pos") * F.lit(parts) / F.lit(max(total, 1))))
         out = cut(tagged.drop("pos").groupBy("part").applyInPandas(merge, SCHEMA))
-        hop = out.select(F.col("old").alias("cid"), F.col("cid").alias("into"))
-        members = cut(members.join(hop, "cid").select("id", F.col("into").alias("cid")))
+        hop = out.select(F.col("old").alias("cid"), F.col("cid").alias("into"), "n")  # n is no less than the rows of the old one
+        members = cut(attach(members, hop, "cid", "n", by="id").select("id", F.col("into").alias("cid")))
         cur = cut(out.groupBy("cid").agg(F.first("n").alias("n"), F.first("ls").alias("ls"), F.first("reps").alias("reps")))
         if last:
             return members, cur
@@ -125,7 +125,7 @@ def cure(points: DataFrame, k: int, c: int = 4, alpha: float = 0.1, part_rows: i
     members, clusters = merge_representatives(points, k, c, alpha, part_rows, seed=seed)
     order, _, _ = numbered(clusters, F.col("cid"), name="label")
     named = order.withColumn("label", F.col("label").cast("int"))
-    labels = members.join(named.select("cid", "label"), "cid").select("id", "label")
+    labels = attach(members, named.select("cid", "label", "n"), "cid", "n", by="id").select("id", "label")
     return labels, named.select("label", F.explode("reps").alias("rep"))
 
 
@@ -145,6 +145,7 @@ def cure_sampled(
         pick = F.row_number().over(W.partitionBy("label").orderBy("center"))
         rows = rows.withColumn("__r", pick).filter(F.col("__r") <= n_reps).drop("__r")
     rows = cut(rows)
-    near = assign_nearest(points, rows.select("center", F.col("rep").alias("features")))
-    labels = near.join(rows.select("center", "label"), "center").select("id", "label", "dist")
+    near = cut(assign_nearest(points, rows.select("center", F.col("rep").alias("features"))))
+    taken = near.groupBy("center").agg(F.count(F.lit(1)).alias("n")).join(rows.select("center", "label"), "center")
+    labels = attach(near, taken, "center", "n", by="id").select("id", "label", "dist")
     return labels, rows.select("label", "rep")

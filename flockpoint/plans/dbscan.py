@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.blocks import FANOUT_BITS, BlockIndex, inside, n_blocks, point_pairs, walk_pairs, with_points, within
 from ..operators.components import connected_components
 from ..operators.neighbours import index_of, location_counts
-from ..session import cut, numbered
+from ..session import attach, cut, numbered
 
 LEVELS = 64  # room for the level inside a node's vertex number
 PRUNE_AT = 20_000_000  # straddling point pairs worth one more component run
@@ -92,13 +92,10 @@ def location_labels(ix: BlockIndex, eps: float, min_pts: int) -> DataFrame:
     counts = location_counts(ix, eps, enough=min_pts)
     core = cut(counts.select("pid", (F.col("n_neigh") >= min_pts).alias("is_core")))
     comps = cut(core_components(ix, core, eps))
-    heads = comps.groupBy("component").agg(F.min("pid").alias("head"))
+    heads = comps.groupBy("component").agg(F.min("pid").alias("head"), F.count(F.lit(1)).alias("places"))
     order, _, _ = numbered(heads, F.col("head"), name="label")
-    inner = cut(
-        comps.join(order.select("component", F.col("label").cast("int").alias("label")), "component").select(
-            "pid", "label", "features", "block"
-        )
-    )
+    named = order.select("component", F.col("label").cast("int").alias("label"), "places")
+    inner = cut(attach(comps, named, "component", "places", by="pid").select("pid", "label", "features", "block"))
 
     # borders: the lowest label among the cores within reach
     rest = cut(ix.points.join(core.filter(~F.col("is_core")).select("pid"), "pid").withColumn("edge", F.lit(1)))

@@ -10,7 +10,7 @@ from ..operators.blocks import BlockIndex, point_pairs, walk_pairs, with_points,
 from ..operators.components import compress, connected_components
 from ..operators.forest import merge_table, reach_forest
 from ..operators.neighbours import knn_index, location_core_distance, location_knn
-from ..session import cut, numbered
+from ..session import attach, cut, numbered
 
 LIST_LENGTH = 8  # neighbours kept per location to start the forest from
 
@@ -90,8 +90,10 @@ def extract_clusters(h: Hierarchy, eps: float) -> DataFrame:
     limit = F.lit(float(eps))
     cores = h.points.filter(F.col("core_dist") <= limit).select(F.col("pid").alias("id"))
     comps = cut(connected_components(cores, h.forest.filter(F.col("w") <= limit)))
-    heads, _, _ = numbered(comps.filter(F.col("id") == F.col("component")).select("component"), F.col("component"), name="label")
-    inner = cut(comps.join(heads, "component").select(F.col("id").alias("pid"), F.col("label").cast("int").alias("label")))
+    heads = comps.groupBy("component").agg(F.count(F.lit(1)).alias("places"))
+    named, _, _ = numbered(heads, F.col("component"), name="label")
+    inner = attach(comps, named, "component", "places", by="id")
+    inner = cut(inner.select(F.col("id").alias("pid"), F.col("label").cast("int").alias("label")))
     rest = h.points.join(inner.select("pid"), "pid", "left_anti")
     reach = inner.select(F.col("pid").alias("attach_to"), "label")
     near = rest.join(reach, "attach_to", "left").select(
