@@ -1148,11 +1148,6 @@ def _(spark, sf):
     return spectral.spectral(part2d(spark, sf), 3)
 
 
-@query("spectral_kmeans")
-def _(spark, sf):
-    return spectral.spectral_kmeans(part2d(spark, sf), 3)
-
-
 @query("denclue")
 def _(spark, sf):
     out = denclue.denclue(user2d(spark, sf), s=0.1, xi=2, xi_c=3, tol=0.1, delta=0.05)
