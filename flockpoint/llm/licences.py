@@ -1,6 +1,6 @@
 """Licence scans: a trained paragraph classifier, confirmed against templates.
 
-A paragraph is a line. Its features are the word 1- to 3-grams that occur in any licence template, so a
+A paragraph is a line, or lines without a blank one between them where a notice is wrapped over them. Its features are the word 1- to 3-grams that occur in any licence template, so a
 paragraph that shares none costs nothing beyond hashing its words, plus the share of its n-grams that
 do. A softmax over the licence families and ``unknown`` is trained on altered templates and on paragraphs of
 the corpus; its temperature is fitted on held-out ones, so that the class shares are calibrated. A predicted family
@@ -130,6 +130,12 @@ class Scanner:
     templates: dict[str, list[np.ndarray]]
     least: float
 
+    def __post_init__(self):
+        each = [(f, t) for f, ts in self.templates.items() for t in ts]
+        self.of = np.array([self.families.index(f) for f, _ in each])
+        self.pairs = np.unique(np.concatenate([t for _, t in each]))
+        self.table = np.stack([np.bincount(np.searchsorted(self.pairs, t), minlength=len(self.pairs)) / len(t) for _, t in each], 1)
+
     def features(self, h: np.ndarray, first: np.ndarray):
         """Lines with a known n-gram: their (line, column) pairs and the share of known n-grams of each line."""
         lines, columns = [], []
@@ -174,7 +180,61 @@ class Scanner:
             family, at = self.families[best[i]], lines[i]
             like = self.confirmed(h[first[at] : first[at + 1]], family)
             if like >= self.least:
-                out.append((int(owner[at]), int(at - np.searchsorted(owner, owner[at])), family, float(p[i, best[i]]), float(like)))
+                out.append((int(at), family, float(p[i, best[i]]), float(like)))
+        out += self.wrapped(h, first, owner, out)
+        return [(int(owner[at]), int(at - np.searchsorted(owner, owner[at])), *hit) for at, *hit in sorted(out)]
+
+    def wrapped(self, h: np.ndarray, first: np.ndarray, owner: np.ndarray, single: list) -> list:
+        """``(first line, family, share, likeness)`` of notices over several lines, without those that stand on one line.
+
+        A window of lines is as long as the longest template needs. A block none of whose templates is there as a
+        whole has no window either, so few windows are looked at.
+        """
+        if len(h) < 2:
+            return []
+        pair = _pairs(h)
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        where = np.flatnonzero(self.pairs[at] == pair)
+        kind = at[where]
+        longest = max(len(t) for ts in self.templates.values() for t in ts) + 1
+        filled = np.diff(first) > 0
+        joined = filled[1:] & filled[:-1] & (owner[1:] == owner[:-1])
+        edge = np.diff(joined.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+        hits = {}
+        for line, family, *_ in single:
+            hits.setdefault(line, set()).add(self.families.index(family))
+
+        def found(lo: int, hi: int) -> np.ndarray:
+            """Likeness of every template to the lines from ``lo`` to ``hi``."""
+            a, b = np.searchsorted(where, [first[lo], first[hi + 1] - 1])
+            return self.table[np.unique(kind[a:b])].sum(axis=0)
+
+        out = []
+        for lo, hi in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
+            if not (found(lo, hi) >= self.least).any():
+                continue
+            seen = []
+            for i in range(lo, hi):
+                for j in range(i + 1, hi + 1):
+                    if first[j] - first[i + 1] > longest:
+                        break
+                    like = found(i, j)
+                    alone = set().union(*(hits.get(k, ()) for k in range(i, j + 1)))
+                    if not set(self.of[like >= self.least]) - alone:
+                        continue
+                    words = h[first[i] : first[j + 1]]
+                    line, column, share = self.features(words, np.array([0, len(words)]))
+                    p = self.shares(line, column, share, np.array([0]))[0]
+                    best = int(p.argmax())
+                    mine = like[self.of == best].max(initial=0.0)
+                    if self.families[best] != UNKNOWN and best not in alone and mine >= self.least:
+                        seen.append((-mine, j - i, -p[best], i, best))
+            used = set()
+            for less, more, share, i, best in sorted(seen):
+                lines = set(range(i, i + more + 1))
+                if not lines & used:
+                    used |= lines
+                    out.append((int(i), self.families[best], float(-share), float(-less)))
         return out
 
 
@@ -257,7 +317,7 @@ def _scan(shared, keep):
 
 
 def licence_hits(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, hits)``, one row per row of ``docs``; ``hits`` lists ``paragraph`` (line, from 0), ``family``,
+    """``(id_col, hits)``, one row per row of ``docs``; ``hits`` lists ``paragraph`` (its first line, from 0), ``family``,
     ``score`` (calibrated share) and ``likeness`` (share of the template found).
 
     Null and empty texts have no hits. Ids may be null or repeat; other columns are ignored.

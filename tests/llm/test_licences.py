@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import pytest
 
@@ -25,6 +26,18 @@ def test_templates_among_other_lines(spark, scanner):
     assert right >= 0.95 * len(want), [(i, want[i], got[i]) for i in want if got[i] != [(2, want[i])]]
 
 
+@pytest.mark.parametrize("mark", ["", " * ", "# "])
+def test_wrapped_notices(spark, scanner, mark):
+    notices = [(f, t) for f, ts in TEMPLATES.items() for t in ts if len(t.split()) >= 15]
+    rows = []
+    for i, (_, t) in enumerate(notices):
+        lines = textwrap.wrap(t, 50)
+        assert len(lines) > 1
+        rows.append((i, "some words before\n\n" + "\n".join(mark + x for x in lines) + "\n\nand after it"))
+    got = {r["doc_id"]: {h["family"] for h in r["hits"]} for r in licence_hits(spark.createDataFrame(rows, "doc_id int, text string"), scanner).collect()}
+    assert [(f, got[i]) for i, (f, _) in enumerate(notices) if f not in got[i]] == []
+
+
 def test_near_misses_are_unknown(spark, scanner):
     texts = ["the general public may work under any terms", "we have a license to drive", "version 2.0 of the work", "MIT is a school", "free of charge"]
     out = licence_hits(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), scanner)
