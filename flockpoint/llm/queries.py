@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from public_tokenizers import path as vocabulary
 
 from . import licences, perplexity, quality
+from ..session import shared_path
 from .chat import digests, format_trees, message_chains
 from .langid import held_out, identify, train
+from .ledger import BASE_RULES, FOUND, RULES, BlobLedger, spans_text
 from .linededup import drop_boilerplate
 from .lzprint import phrase_fingerprints
 from .neardup import near_duplicates
@@ -188,3 +190,35 @@ def _(spark, sf):
 @query("op10_quality_rules")
 def _(spark, sf):
     return perplexity.quality_rules(table(spark, sf, "documents"))
+
+
+def secrets_sql() -> str:
+    """The spans of all rules over ``documents``: pieces between matches and the matches give the positions."""
+    parts, shown = [], lambda x: x.replace("'", "''")
+    for kind, r in enumerate(RULES):
+        p = shown(r.pattern)
+        parts.append(f"""
+      select doc_id, rid, {kind} kind, '{r.name}' rule, {r.least} least, string_split_regex(t, '{p}') gaps,
+        regexp_extract_all(t, '{p}', 0) hits, regexp_extract_all(t, '{p}', {r.group}) parts from d where regexp_matches(t, '{p}')""")
+    return f"""
+    with d as (select doc_id, coalesce(text, '') t, row_number() over () rid from documents),
+    found as ({" union all ".join(parts)}),
+    each as (select rid, kind, rule, least, unnest(range(1, len(hits) + 1)) i, gaps, hits, parts from found),
+    placed as (select rid, kind, rule, length(parts[i]) >= least kept, length(hits[i]) size,
+      sum(length(gaps[i]) + length(hits[i])) over (partition by rid, kind order by i) stop from each),
+    spans as (select rid, kind, (stop - size)::bigint start, rule || ':' || cast((stop - size)::bigint as varchar) || ':' || cast(stop::bigint as varchar) s from placed where kept)
+    select doc_id, count(s) filter (kind = 0) n_assign, count(s) filter (kind = 1) n_access, count(s) filter (kind = 2) n_hex,
+      sha256(coalesce(string_agg(s, ',' order by start, kind) filter (kind < {len(BASE_RULES)}), '')) base_sha256,
+      coalesce(string_agg(s, ',' order by start, kind), '') spans
+    from d left join spans using (rid) group by rid, doc_id"""
+
+
+@query("op11_blob_ledger", secrets_sql())
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    ledger = BlobLedger(spark, shared_path(spark))
+    ledger.update(docs)
+    found = ledger.findings(docs).withColumn("found", F.coalesce("found", F.array().cast(FOUND)))
+    n = lambda name: F.size(F.filter("found", lambda f: F.substring_index(f["rule"], "@", 1) == name)).cast("long").alias(f"n_{name}")
+    base = F.filter("found", lambda f: f["kind"] < len(BASE_RULES))
+    return found.select("doc_id", *[n(r.name) for r in BASE_RULES], F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("found")).alias("spans"))
