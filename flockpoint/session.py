@@ -24,10 +24,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
-def _write(df: DataFrame) -> str:
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new folder name in the checkpoint folder."""
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def _write(df: DataFrame) -> str:
+    path = shared_path(df.sparkSession)
     df.write.option("maxRecordsPerFile", 0).parquet(path)
     return path
 
