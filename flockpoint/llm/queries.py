@@ -15,6 +15,7 @@ from .lzprint import phrase_fingerprints
 from .neardup import near_duplicates
 from .mixing import mix_sources, plausible_words
 from .packing import pack_documents
+from .runs import periodic_runs
 
 _QUERIES = {}
 _SQL = {}
@@ -222,3 +223,42 @@ def _(spark, sf):
     n = lambda name: F.size(F.filter("found", lambda f: F.substring_index(f["rule"], "@", 1) == name)).cast("long").alias(f"n_{name}")
     base = F.filter("found", lambda f: f["kind"] < len(BASE_RULES))
     return found.select("doc_id", *[n(r.name) for r in BASE_RULES], F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("found")).alias("spans"))
+
+
+def planted_words(docs):
+    """``docs`` with a text in ten made periodic from some word on: of ``h = crc32(doc_id)``, ``g = h div 10``, word i >= a is word
+    ``a + (i - a) mod p`` with ``a = g mod n``, ``p = 1 + (n - a) div (3 + g mod 8)`` where h ends in 0. A null id counts as an empty one."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    asked = (h % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    n, g = F.size("w").cast("long"), F.floor(h / 10).cast("long")
+    a = g % n
+    p = 1 + F.floor((n - F.col("a")) / (3 + g % 8)).cast("long")
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    text = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.element_at("w", (place(i) + 1).cast("int"))), " ")
+    rows = docs.select("doc_id", "text", F.when(asked, words).alias("w"))
+    rows = rows.select("*", F.when(F.col("w").isNotNull(), a).alias("a")).select("*", p.alias("p"))
+    return rows.select("doc_id", F.when(F.col("w").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def run_digests(found):
+    """The strongest run, by exact exponent, and digests of all runs and of the collapsed text."""
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    stronger = lambda a, r: a.isNull() | (r["length"] * a["period"] > a["length"] * r["period"])
+    best = F.aggregate("runs", none, lambda a, r: F.when(stronger(a, r), r).otherwise(a))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    told = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), told.alias("told"), "collapsed")
+    return rows.select(
+        "doc_id",
+        "n_runs",
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.col("told").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op12_periodic_runs")
+def _(spark, sf):
+    return run_digests(periodic_runs(planted_words(table(spark, sf, "documents").select("doc_id", "text"))))
