@@ -8,6 +8,7 @@ from public_tokenizers import path as vocabulary
 from . import licences, perplexity, quality
 from ..session import shared_path
 from .chat import digests, format_trees, message_chains
+from .collocations import collocations
 from .langid import held_out, identify, train
 from .ledger import BASE_RULES, FOUND, RULES, BlobLedger, spans_text
 from .linededup import drop_boilerplate
@@ -262,3 +263,29 @@ def run_digests(found):
 @query("op12_periodic_runs")
 def _(spark, sf):
     return run_digests(periodic_runs(planted_words(table(spark, sf, "documents").select("doc_id", "text"))))
+
+
+@query(
+    "op13_collocations",
+    r"""
+    with d as (select coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+    p as (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) p from d),
+    w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') w from p),
+    spots as (select lang, w, unnest(range(1, len(w) + 1)) i from w),
+    g as (select lang, w[i:i + k - 1] g, count(*) a from spots, range(1, 6) s(k) where i + k - 1 <= len(w) group by 1, 2),
+    tot as (select lang, sum(a)::bigint n from g where len(g) = 1 group by 1),
+    f as (select * from g where a >= 100),
+    c as (select * from f where len(g) > 1),
+    sub as (select lang, a, unnest(list_transform(range(1, len(g) - k + 2), lambda i: g[i:i + k - 1])) g from c, range(2, 5) s(k) where k < len(g)),
+    within as (select lang, g, max(a) most from sub group by 1, 2),
+    own as (select c.* from c left join within using (lang, g) where most is null or 100 * most < 100 * a),
+    cuts as (select lang, g, a, unnest(range(1, len(g))) k from own),
+    scored as (select cuts.*, l.a l, r.a r, n, (1000::hugeint * cuts.a * n) // (l.a::hugeint * r.a) score
+      from cuts join tot using (lang) join f l on l.lang = cuts.lang and l.g = cuts.g[1:k] join f r on r.lang = cuts.lang and r.g = cuts.g[k + 1:]),
+    best as (select * from scored qualify row_number() over (partition by lang, g order by score, k) = 1),
+    told as (select *, array_to_string(g, ' ') phrase from best),
+    ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from told)
+    select lang, rank::bigint rank, phrase, a, l, r, n, score::bigint score from ranked where rank <= 2000""",
+)
+def _(spark, sf):
+    return collocations(table(spark, sf, "documents"))
