@@ -2,8 +2,9 @@
 
 Phrases are counted in tries with hash containers. The trie of a task is shallow: its root leads from a word id to a hash
 table of the words that follow, and only a table that grows beyond ``burst`` keys becomes a node with a table per next
-word. When a task's tries hold ``room`` keys, the largest subtrees leave as runs sorted by prefix, and Spark adds up what tasks
-know of the same prefix. A prefix is a trie path as a whole, so the many phrases that begin with a frequent word are spread.
+word. When a task's trie holds ``room`` keys, the largest subtrees leave whole, as runs sorted by prefix partition and prefix. Spark
+brings the runs of a prefix partition together and they are merged there. A partition is a hash of the first word and eight
+bits of the second, so the phrases that begin with a frequent word are spread over 256 partitions.
 
 A phrase is never more frequent than a part of it. So the texts are read three times, for words, for pairs of frequent words,
 and for longer phrases all of whose pairs are frequent. What is frequent comes to the tasks as a bitmap of
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread_over
 from .textbytes import Texts, blocks, mix, small_batches, span_hashes
 
 #: Bits of a bitmap, 8 MB whatever the input.
@@ -100,32 +101,34 @@ class HatTrie:
             node.setdefault(tail[:8], Container())[tail[8:]] = c
         return self._burst(node)
 
-    def _walk(self, box: Container | Node, path: bytes) -> Iterator[tuple[bytes, int]]:
-        for k in sorted(box):
-            if type(box) is Node:
-                yield from self._walk(box[k], path + k)
-            else:
-                yield path + k, box[k]
+    def _tables(self, box: Container | Node, path: bytes) -> Iterator[tuple[bytes, Container]]:
+        if type(box) is Container:
+            yield path, box
+        else:
+            for k, kid in box.items():
+                yield from self._tables(kid, path + k)
 
     def spill(self, down_to: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Take out whole subtrees, largest first, until ``down_to`` keys are left: ``(rows, counts)`` sorted by prefix."""
+        """Take out whole subtrees, largest first, until ``down_to`` keys are left: ``(rows, counts)``, sorted by row."""
         gone, left = [], self.size
         for first in sorted(self.keys, key=lambda k: (-self.keys[k], k)):
             if left <= down_to:
                 break
             gone.append(first)
             left -= self.keys[first]
-        tails, counts, firsts = [], [], []
-        for at, first in enumerate(gone):
-            for tail, c in self._walk(self.root.pop(first), b""):
-                tails.append(tail)
-                counts.append(c)
-                firsts.append(first)
-            self.size -= self.keys.pop(first)
-            if len(tails) >= 50_000 or at + 1 == len(gone):
-                rest = np.frombuffer(b"".join(tails), np.uint64).reshape(len(tails), self.width - 1)
-                yield np.column_stack([np.array(firsts, np.uint64), rest]), np.array(counts, np.int64)
-                tails, counts, firsts = [], [], []
+        if not gone:
+            return
+        tails, counts, sizes = [], [], []
+        for first in gone:
+            for path, box in self._tables(self.root.pop(first), b""):
+                tails.append(b"".join([path + k for k in box] if path else box))
+                counts += box.values()
+            sizes.append(self.keys.pop(first))
+        self.size = left
+        rest = np.frombuffer(b"".join(tails), np.uint64).reshape(-1, self.width - 1)
+        rows = np.column_stack([np.repeat(np.array(gone, np.uint64), sizes), rest])
+        order = np.lexsort(rows.T[::-1])
+        yield rows[order], np.array(counts, np.int64)[order]
 
 
 def _seed(lang: str) -> int:
@@ -222,20 +225,28 @@ def _count_words(room: int):
     return run
 
 
-def _count_phrases(shared, least: int, longest: int, room: int, burst: int):
-    """Rows ``w1 .. w<longest>, c``: phrases of ``least`` to ``longest`` words, all of whose words (pairs, from three words on) are in the bitmap."""
-    names = [*[f"w{i + 1}" for i in range(longest)], "c"]
+RUNS = "part int, run binary"
 
-    def told(rows: np.ndarray, counts: np.ndarray):
-        for k in range(least, longest + 1):
-            here = rows[:, k - 1] != 0
-            part, c = rows[here, :k], counts[here]
-            if not len(part):
-                continue
-            heads = np.flatnonzero(np.append(True, (part[1:] != part[:-1]).any(axis=1)))
-            c = np.add.reduceat(c, heads)
-            columns = [_long(np.ascontiguousarray(part[heads, i])) if i < k else pa.array(np.zeros(len(heads), np.int64)) for i in range(longest)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(c)], names)
+
+def _partition(rows: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(rows[:, 0] ^ (rows[:, 1] >> np.uint64(56))) % np.uint64(parts)).astype(np.int32)
+
+
+def _count_phrases(shared, least: int, longest: int, parts: int, room: int, burst: int):
+    """Rows ``RUNS``: for each prefix partition phrases of ``least`` to ``longest`` words, all of whose words (pairs, from three words
+    on) are in the bitmap, with their counts; each run is sorted by words."""
+
+    def runs(rows: np.ndarray, counts: np.ndarray):
+        part = _partition(rows, parts)
+        order = np.argsort(part, kind="stable")
+        part, rows, counts = part[order], rows[order], counts[order].astype(np.uint64)
+        heads = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+        table = np.column_stack([rows, counts])
+        for at in range(0, len(heads), 512):
+            here = heads[at : at + 512]
+            ends = np.append(here[1:], heads[at + 512] if at + 512 < len(heads) else len(part))
+            told = [table[i:j].tobytes() for i, j in zip(here.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[here]), pa.array(told, pa.binary())], ["part", "run"])
 
     def run(batches):
         bitmap, seeds, trie = shared.value, {}, HatTrie(longest, burst)
@@ -247,37 +258,89 @@ def _count_phrases(shared, least: int, longest: int, room: int, burst: int):
             else:
                 joined[:-1] &= _in(bitmap, _pair_place(ids[:-1], ids[1:]))
             # from each word, the words up to the end of its chain, at most ``longest``
-            rows = np.zeros((len(ids), longest), np.uint64)
-            rows[:, 0] = ids
-            on = np.ones(len(ids), bool)
-            for k in range(1, longest):
-                on = on[:-1] & joined[: len(ids) - k] if k == 1 else on[:-1] & joined[k - 1 : len(ids) - 1]
-                rows[: len(on), k][on] = ids[k:][on]
-            rows = rows[rows[:, least - 1] != 0]
-            key = np.zeros(len(rows), np.uint64)
+            chain = joined.copy()
+            for k in range(1, least - 1):
+                chain[: len(ids) - k] &= joined[k:]
+                chain[len(ids) - k :] = False
+            at = np.flatnonzero(chain)
+            rows = np.zeros((len(at), longest), np.uint64)
+            key = np.zeros(len(at), np.uint64)
+            on = np.arange(len(at))
+            for k in range(longest):
+                rows[on, k] = ids[at[on] + k]
+                on = on[joined[at[on] + k]]
             for k in range(longest):
                 key = mix((key ^ rows[:, k]) + np.uint64(k + 1))
             _, shown, n = np.unique(key, return_index=True, return_counts=True)
             trie.add(rows[shown], n)
             if trie.size > room:
                 for part in trie.spill(room // 2):
-                    yield from told(*part)
+                    yield from runs(*part)
         for part in trie.spill(0):
-            yield from told(*part)
+            yield from runs(*part)
+
+    return run
+
+
+def _merge_runs(keep: int, least: int, longest: int):
+    """Rows ``w1 .. w<longest>, a``: what the runs of each prefix partition say together, for phrases with ``keep`` occurrences or more.
+
+    Runs come sorted by partition. A run has a row per longest phrase; its beginnings of ``least`` words or more are phrases too.
+    """
+    names = [*[f"w{i + 1}" for i in range(longest)], "a"]
+
+    def merged(runs: list[bytes]):
+        table = np.frombuffer(b"".join(runs), np.uint64).reshape(-1, longest + 1)
+        found = []
+        for k in range(least, longest + 1):
+            rows = table[table[:, k - 1] != 0] if k > least else table
+            key = np.zeros(len(rows), np.uint64)
+            for i in range(k):
+                key = mix((key ^ rows[:, i]) + np.uint64(i + 1))
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            if not len(heads):
+                break
+            total = np.add.reduceat(rows[order, longest].astype(np.int64), heads)
+            many = total >= keep
+            some = np.zeros((np.count_nonzero(many), longest), np.uint64)
+            some[:, :k] = rows[order[heads[many]], :k]
+            found.append((some, total[many]))
+        rows, counts = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        columns = [_long(np.ascontiguousarray(rows[:, i])) for i in range(longest)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(counts)], names)
+
+    def run(batches):
+        held, at = [], None
+        for batch in batches:
+            for part, told in zip(batch.column("part").to_pylist(), batch.column("run"), strict=True):
+                if part != at and held:
+                    yield merged(held)
+                    held = []
+                at = part
+                held.append(told.as_py())
+        if held:
+            yield merged(held)
 
     return run
 
 
 def phrase_counts(docs: DataFrame, least: int, longest: int, room: int, burst: int) -> tuple[DataFrame, DataFrame]:
     """``(lang, id, word, c)`` of words with at least ``least`` occurrences and, without a word, each language's number of all words;
-    ``(words array<long>, a)`` of all phrases of up to ``longest`` words with at least ``least`` occurrences. Docs are ``(lang, text)``."""
+    ``(words array<long>, a)`` of all phrases of up to ``longest`` words with at least ``least`` occurrences. Docs are ``(lang, text)``.
+
+    A merge holds one prefix partition; there are 16 for each of the session's shuffle partitions, so they stay as small as those.
+    """
     spark = docs.sparkSession
     rare = (F.col("c") >= least) | F.col("word").isNull()
 
+    parts = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
     def counted(shared, low: int, high: int) -> DataFrame:
-        cols = [f"w{i + 1}" for i in range(high)]
-        rows = docs.mapInArrow(_count_phrases(shared, low, high, room, burst), ", ".join(f"{c} long" for c in [*cols, "c"]))
-        return cut(rows.groupBy(*cols).agg(F.sum("c").alias("a")).filter(F.col("a") >= least))
+        runs = docs.mapInArrow(_count_phrases(shared, low, high, parts, room, burst), RUNS)
+        kind = ", ".join(f"{c} long" for c in [*[f"w{i + 1}" for i in range(high)], "a"])
+        return cut(spread_over(runs, "part").sortWithinPartitions("part").mapInArrow(_merge_runs(least, low, high), kind))
 
     with small_batches(spark):
         words = cut(docs.mapInArrow(_count_words(room), WORDS).groupBy("lang", "id", "word").agg(F.sum("c").alias("c")).filter(rare))

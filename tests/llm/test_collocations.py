@@ -87,6 +87,7 @@ def test_trie_bursts_and_spills_whole_subtrees():
             assert trie.size <= 75
             gone = {int(r[0]) for rows, _ in part for r in rows}
             assert gone == before - set(trie.root)  # whole subtrees
+            assert all((np.lexsort(rows.T[::-1]) == np.arange(len(rows))).all() for rows, _ in part)
             runs += part
     assert any(type(b) is Node and all(type(k) in (Node, Container) for k in b.values()) for b in trie.root.values())
     runs += list(trie.spill(0))
