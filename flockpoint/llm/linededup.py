@@ -1,10 +1,11 @@
 """Site-relative line dedup with DataFrame functions only.
 
 A line's boilerplate ratio on a host is the number of the host's pages that contain it over all pages of
-the host. Pages with the same text count as one page, and a page most of which would go is kept whole: it is a
-copy of a page rather than a page with furniture, and copies are the business of document dedup.
+the host; every line over the ratio goes, wherever it stands. What is a page: pages with the same text count once, and pages
+that share the two lines with the smallest hashes count once in the ratio. So copies and most near copies of a page are one page,
+whose lines are left to document dedup, while pages that only share a menu or a footer rarely agree in both of those lines.
 
-Only 64-bit line hashes are shuffled, folded per host before. A host's boilerplate list has at most
+Only line hashes are shuffled, folded per host before. A host's boilerplate list has at most
 ``mean lines per page / max_ratio`` entries, so it travels as one array per host; texts are not shuffled
 as long as Spark can broadcast the hosts, else hot hosts are split by adaptive skew joins.
 """
@@ -24,60 +25,51 @@ def _filled(line):
     return F.length(F.btrim(line, F.lit(BLANK))) > 0
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float, min_pages: int) -> DataFrame:
-    """``(host, n_pages, lines)``: per host its distinct non-null pages and the hashes of its boilerplate lines."""
+def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float) -> DataFrame:
+    """``(host, lines)``: per host the hashes of its boilerplate lines."""
+    filled = F.array_distinct(F.filter(F.split(text, "\n"), _filled))
     distinct = (
         pages.filter(F.col(text).isNotNull())
+        .select(F.col(host).alias("host"), F.xxhash64(text).alias("page"), F.octet_length(text).alias("size"), filled.alias("filled"))
         .select(
-            F.col(host).alias("host"),
-            F.xxhash64(text).alias("page"),
-            F.octet_length(text).alias("size"),
-            F.array_distinct(F.transform(F.filter(F.split(text, "\n"), _filled), lambda x: F.xxhash64(x))).alias("lines"),
+            "host",
+            "page",
+            "size",
+            F.transform("filled", lambda x: F.xxhash64(x)).alias("lines"),
+            F.xxhash64(F.slice(F.array_sort(F.transform("filled", lambda x: F.md5(x))), 1, 2)).alias("kind"),
         )
         .groupBy("host", "page", "size")
-        .agg(F.first("lines").alias("lines"))
+        .agg(F.first(F.struct("lines", "kind")).alias("p"))
     )
-    distinct = cut(distinct)
-    totals = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
-    counts = distinct.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    frequent = counts.filter(F.col("n") >= min_pages).withColumnRenamed("host", "h")
-    totals = cut(totals)
-    over = totals.join(frequent, F.col("host").eqNullSafe(F.col("h"))).filter(F.col("n") > max_ratio * F.col("n_pages"))
-    return over.groupBy("host", "n_pages").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    distinct = cut(distinct.select("host", "p.lines", "p.kind"))
+    totals = cut(distinct.groupBy("host", "kind").agg(F.lit(1)).groupBy("host").agg(F.count(F.lit(1)).alias("kinds")))
+    counts = distinct.select("host", "kind", F.explode("lines").alias("line")).groupBy("host", "line", "kind").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.groupBy(F.col("host").alias("h"), "line").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("on"))
+    frequent = counts.filter(F.col("n") >= 2)
+    over = totals.join(frequent, F.col("host").eqNullSafe(F.col("h"))).filter(F.col("on") > max_ratio * F.col("kinds"))
+    return over.groupBy("host").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
 
-def drop_boilerplate(
-    pages: DataFrame,
-    host_col: str = "source",
-    text_col: str = "text",
-    max_ratio: float = 0.1,
-    min_pages: int = 5,
-    max_loss: float = 0.5,
-) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = 0.1) -> DataFrame:
     """``pages`` with ``text_col`` cleaned, and ``n_lines``, ``n_dropped`` added (overwriting columns of these names).
 
-    Lines end at newlines. A line goes where it is on at least ``min_pages`` of its host's distinct pages and on more than
-    ``max_ratio`` of them; every occurrence goes. A page that would lose more than ``max_loss`` of the characters of its lines
-    keeps them all. Blank lines stay. A null text stays null with ``n_lines`` 0; an empty text is one blank line. Rows
-    without a host form a host of their own. Repeated rows are cleaned alike.
+    Lines end at newlines. A line goes where it is on more than ``max_ratio`` of its host's pages and on two different texts at
+    least; every occurrence goes, also where nothing else is left. Blank lines stay. A null text stays null with ``n_lines`` 0; an empty
+    text is one blank line. Rows without a host form a host of their own. Repeated rows are cleaned alike. Other columns keep
+    their names and values.
     """
     # kept as a written table: its true size decides how it meets the pages
-    hosts = cut(boilerplate(pages, host_col, text_col, max_ratio, min_pages))
-    hosts = hosts.select(F.col("host").alias("__host"), F.col("lines").alias("__boiler"))
-    rows = pages.join(hosts, pages[host_col].eqNullSafe(hosts["__host"]), "left").drop("__host")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(lines, lambda x: ~(_filled(x) & F.array_contains(F.col("__boiler"), F.xxhash64(x))))
-    rows = rows.withColumn("__kept", F.when(F.col("__boiler").isNotNull(), kept))
-    clean = F.array_join("__kept", "\n")
-    n_lines = F.coalesce(F.size(lines), F.lit(0))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(n_lines)
-    size = lambda t, n: F.length(t) - n + 1
-    lost = size(F.col(text_col), n_lines) - size(clean, F.size("__kept"))
-    cleaned = F.col("__kept").isNotNull() & (lost <= max_loss * size(F.col(text_col), n_lines))
-    cleaned = F.coalesce(cleaned, F.lit(False)) & (F.size("__kept") > 0)
+    hosts = cut(boilerplate(pages, host_col, text_col, max_ratio)).select(F.col("host"), F.col("lines").alias("boiler"))
+    kept = [c for c in pages.columns if c not in (text_col, "n_lines", "n_dropped")]
+    own = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col(text_col).alias("t"), F.col(host_col).alias("h"))
+    rows = own.join(hosts, F.col("h").eqNullSafe(F.col("host")), "left")
+    lines = F.split("t", "\n")
+    left = F.filter(lines, lambda x: ~(_filled(x) & F.array_contains(F.col("boiler"), F.xxhash64(x))))
+    rows = rows.withColumn("left", F.when(F.col("boiler").isNotNull(), left))
+    n_lines = F.when(F.col("t").isNull(), 0).otherwise(F.size(lines))
     return rows.select(
-        *(c for c in pages.columns if c not in (text_col, "n_lines", "n_dropped")),
-        F.when(cleaned, clean).otherwise(F.col(text_col)).alias(text_col),
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)],
+        F.when(F.col("left").isNotNull(), F.array_join("left", "\n")).otherwise(F.col("t")).alias(text_col),
         n_lines.cast("int").alias("n_lines"),
-        F.when(cleaned, n_lines - F.size("__kept")).otherwise(0).cast("int").alias("n_dropped"),
+        F.when(F.col("left").isNotNull(), n_lines - F.size("left")).otherwise(0).cast("int").alias("n_dropped"),
     )

@@ -146,17 +146,17 @@ def line_dedup_sql(docs: str) -> str:
     filled = "length(trim({0}, ' ' || chr(9) || chr(11) || chr(12) || chr(13))) > 0"
     return f"""
     dp as (select distinct source, text from {docs} where text is not null),
-    tot as (select source, count(*) n_pages from dp group by 1),
-    ln as (select distinct source, text, unnest(string_split(text, chr(10))) line from dp),
-    freq as (select source, line, count(*) n from ln where {filled.format('line')} group by 1, 2),
+    fl as (select source, text, list_distinct(list_filter(string_split(text, chr(10)), lambda x: {filled.format('x')})) l from dp),
+    kd as (select source, text, l, list_sort(list_transform(l, lambda x: md5(x)))[1:2] kind from fl),
+    tot as (select source, count(distinct kind) kinds from kd group by 1),
+    ln as (select source, kind, unnest(l) line from kd),
+    freq as (select source, line, count(*) n, count(distinct kind) "on" from ln group by 1, 2),
     boil as (select tot.source, list(line) b from freq join tot on freq.source is not distinct from tot.source
-      where n >= 5 and n > 0.1::double * n_pages group by 1),
+      where n >= 2 and "on" > 0.1::double * kinds group by 1),
     sl as (select d.*, string_split(text, chr(10)) l, b from {docs} d left join boil on d.source is not distinct from boil.source),
     kp as (select *, case when b is not null then list_filter(l, lambda x: not ({filled.format('x')} and list_contains(b, x))) end k from sl),
-    cl as (select *, array_to_string(k, chr(10)) clean, length(text) - len(l) + 1 full_size from kp),
-    ok as (select *, coalesce(len(k) > 0 and full_size - (length(clean) - len(k) + 1) <= 0.5::double * full_size, false) ok from cl),
-    cleaned as (select doc_id, source, lang, n_chars, case when ok then clean else text end as text, cast(coalesce(len(l), 0) as int) n_lines,
-      cast(case when ok then len(l) - len(k) else 0 end as int) n_dropped from ok)"""
+    cleaned as (select doc_id, source, lang, n_chars, case when k is not null then array_to_string(k, chr(10)) else text end as text,
+      cast(coalesce(len(l), 0) as int) n_lines, cast(case when k is not null then len(l) - len(k) else 0 end as int) n_dropped from kp)"""
 
 
 @query("op8_line_dedup", f"with {line_dedup_sql('documents')} select doc_id, source, text, n_lines, n_dropped from cleaned")
