@@ -3,22 +3,77 @@
 Each round hooks every vertex to its smallest neighbour, follows the hooks to their
 roots, and rewrites the edges on the roots; self edges and doubles vanish, so the edge
 table shrinks geometrically. Hot vertices only meet partial aggregates and joins against
-a table with one row per vertex, which adaptive execution splits.
+a table with one row per vertex, which adaptive execution splits. Once at most ``FINISH`` rows are left, one task
+finishes them: a written table tells its row count, so that is checked, and the result is the same.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 
+FINISH = 200_000  # rows of integers that one task finishes
 HOPS = 3  # pointer hops per written round; each round's pointers are the next round's hops
 
 
+def in_one_task(df: DataFrame, fold, schema: str, limit: int | None = None) -> DataFrame | None:
+    """``fold`` of the columns of a written table (numpy arrays in, arrays out) in one task; None beyond ``limit`` rows.
+
+    ``FINISH`` is the limit unless one is given. Columns must be integers or doubles.
+    """
+    limit = FINISH if limit is None else limit
+    if any(kind not in ("bigint", "int", "double") for _, kind in df.dtypes) or df.count() > limit:
+        return None
+    names = [part.split()[0] for part in schema.split(",")]
+
+    def run(batches):
+        batches = list(batches)
+        if batches:
+            table = pa.Table.from_batches(batches)
+            out = fold(*[c.to_numpy() for c in table.columns])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
+
+    return df.coalesce(1).mapInArrow(run, schema)
+
+
+def _follow(up: np.ndarray) -> np.ndarray:
+    while True:
+        on = up[up]
+        if np.array_equal(on, up):
+            return up
+        up = on
+
+
+def _roots(ids: np.ndarray, parent: np.ndarray):
+    order = np.argsort(ids)
+    return ids, ids[order][_follow(np.searchsorted(ids[order], parent)[order])][np.argsort(order)]
+
+
+def _lowest(src: np.ndarray, dst: np.ndarray):
+    """Each id and the smallest id that it is linked with."""
+    ids, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    u, v = ends[: len(src)], ends[len(src) :]
+    up = np.arange(len(ids))
+    while True:
+        a, b = up[u], up[v]
+        open_ = a != b
+        if not open_.any():
+            return ids, ids[up]
+        np.minimum.at(up, np.maximum(a, b)[open_], np.minimum(a, b)[open_])
+        up = _follow(up)
+
+
 def compress(parents: DataFrame) -> DataFrame:
     """``(id, parent)`` -> ``(id, root)``; roots point to themselves, pointers have no cycles."""
     base = cut(parents.select("id", F.col("parent").alias("root")))
+    kind = base.schema["id"].dataType.simpleString()
+    done = in_one_task(base, _roots, f"id {kind}, root {kind}")
+    if done is not None:
+        return cut(done)
     while True:
         cur = base
         for i in range(HOPS):
@@ -57,6 +112,11 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     pairs = cut(pairs)
     labels = None
     while not pairs.isEmpty():
+        last = in_one_task(pairs, _lowest, "id bigint, root bigint")
+        if last is not None:
+            last = cut(last)
+            labels = last if labels is None else cut(relabel(labels, last, "root"))
+            break
         both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         hooks = both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m"))
         roots = compress(hooks.select("id", F.least("id", "m").alias("parent")))

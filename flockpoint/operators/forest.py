@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..session import cut, numbered
 from .blocks import BlockIndex, point_pairs, spread_over, walk_pairs, with_points
-from .components import compress, connected_components, relabel
+from .components import compress, connected_components, in_one_task, relabel
 
 CHUNK_EDGES = 20_000  # forest edges whose merges are ordered inside one task
 
@@ -49,11 +50,28 @@ def _thin(edges: DataFrame) -> DataFrame:
     )
 
 
+def _kruskal(cs, cd, w, src, dst):
+    """The edges of the forest among the components that contracted edges ``cs, cd`` link."""
+    ids, ends = np.unique(np.concatenate([cs, cd]), return_inverse=True)
+    order = np.lexsort((dst, src, w))
+    up = list(range(len(ids)))
+    kept = []
+    for i, a, b in zip(order.tolist(), ends[: len(cs)][order].tolist(), ends[len(cs) :][order].tolist(), strict=True):
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        while up[b] != b:
+            up[b] = b = up[up[b]]
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            kept.append(i)
+    return src[kept], dst[kept], w[kept]
+
+
 def spanning_forest(edges: DataFrame) -> DataFrame:
     """Minimum spanning forest ``(src, dst, w)`` of weighted edges, by rounds of least edges.
 
     Ties go to the smaller ``(src, dst)``. Edges between the same two components are
-    folded to one after every round.
+    folded to one after every round; the last of them, up to a checked number, are finished in one task.
     """
     cur = cut(
         _thin(
@@ -64,6 +82,10 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     )
     out = None
     while not cur.isEmpty():
+        got = in_one_task(cur, _kruskal, "src bigint, dst bigint, w double")
+        if got is not None:
+            got = cut(got)
+            return got if out is None else out.unionByName(got)
         best = cut(_best_edges(cur))
         got = best.select("src", "dst", "w").distinct()
         out = got if out is None else out.unionByName(got)
