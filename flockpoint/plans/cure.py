@@ -1,4 +1,13 @@
-"""Representative-based clustering, on the whole table or on a sample, in bounded parts."""
+"""Representative-based clustering, on the whole table or on a sample.
+
+The closest two clusters by representatives merge, one pair after the other, until ``k`` are left. Merges far from one
+another do not touch, so they are made side by side: a phase takes a distance and makes all merges below it. Clusters that
+are that near form a region. Every later representative lies between the representatives and means of the clusters it came from,
+so two regions whose boxes are further apart than the distance cannot meet in this phase; nearer ones are joined first.
+Each region is then a merge problem of its own, solved in one bounded group, and the order of the merges of different regions
+follows from their distances. The result is the one-by-one result for every table size; phases and
+groups change speed only.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +18,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from ..operators.assign import assign_nearest
-from ..session import attach, cut, numbered
-from ..sources.points import dim_of, sample_key, sample_n
+from ..operators.components import compress, connected_components
+from ..operators.neighbours import index_of, knn_index, location_knn, row_pairs
+from ..session import attach, cut, numbered, spread_over
+from ..sources.points import dim_of, sample_n, with_dim
 
-PART_ROWS = 1_000  # clusters merged inside one task
+GROUP = 3_000  # clusters of a region that one task merges
+LEVELS = 40  # sizes of cells that boxes are put into
 
 
 def sample_size(n_rows: int, k: int, u_min: int | None = None, f: float = 0.3, d: float = 0.02) -> int:
@@ -32,97 +45,252 @@ def sample_size(n_rows: int, k: int, u_min: int | None = None, f: float = 0.3, d
                 return n_rows
 
 
-def _part_merger(c: int, alpha: float, shrink_share: float, floor: int):
-    """The function that merges the clusters of one bounded part; made here to travel by value."""
+SCHEMA = "region bigint, old bigint, cid bigint, n bigint, ls array<double>, reps array<array<double>>, turn int, gap double, peak double"
 
-    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("cid").reset_index(drop=True)
+
+def _region_merger(c: int, alpha: float, below: float):
+    """The function that merges the clusters of regions one by one; made here to travel by value.
+
+    A cluster that was absorbed tells at which ``turn`` of its region, at what distance, and the largest distance up to then.
+    """
+
+    def spread(pool, mid):
+        """Up to ``c`` far-apart rows of ``pool``, moved toward ``mid``."""
+        if len(pool) > c:
+            picked = [int(np.argmax(((pool - mid) ** 2).sum(1)))]
+            while len(picked) < c:
+                far = np.sqrt(((pool[:, None, :] - pool[picked][None, :, :]) ** 2).sum(-1)).sum(1)
+                far[picked] = -1.0
+                picked.append(int(np.argmax(far)))
+            pool = pool[picked]
+        return pool + alpha * (mid - pool)
+
+    def solve(rows: pd.DataFrame, most: float):
+        n = len(rows)
         reps = [np.array([list(r) for r in v], dtype=float) for v in rows["reps"]]
         size = rows["n"].to_numpy().copy()
         sums = [np.array(v, dtype=float) for v in rows["ls"]]
-        home = list(range(len(rows)))
-        target = max(floor, int(math.ceil(len(rows) * shrink_share)))
+        # unused places are filled with the first representative again
+        wide = max(c, max(map(len, reps)))
+        table = np.stack([np.vstack([r, np.repeat(r[:1], wide - len(r), axis=0)]) for r in reps])
 
-        def gap(a, b):
-            return np.sqrt(((reps[a][:, None, :] - reps[b][None, :, :]) ** 2).sum(-1)).min()
+        def gaps(pool):
+            """Distance of every cluster from the representatives ``pool``."""
+            best = np.full(n, np.inf)
+            for p in pool:
+                best = np.minimum(best, ((table - p) ** 2).sum(-1).min(1))
+            return np.sqrt(best)
 
-        n = len(rows)
-        dist = np.full((n, n), np.inf)
+        dist = np.empty((n, n))
         for i in range(n):
-            for j in range(i + 1, n):
-                dist[i, j] = dist[j, i] = gap(i, j)
-        alive = list(range(n))
-        while len(alive) > target:
-            flat = int(np.argmin(dist))
-            u, v = sorted(divmod(flat, n))
+            dist[i] = gaps(reps[i])
+        dist = np.minimum(dist, dist.T)
+        dist[np.tril_indices(n)] = np.inf  # a pair stands at its smaller row
+        near = np.argmin(dist, axis=1)
+        least = dist[np.arange(n), near]
+        home, alive = np.arange(n), np.ones(n, bool)
+        told = np.full((n, 3), np.nan)
+        turn, peak = 0, 0.0
+        while turn < most:
+            u = int(np.argmin(least))
+            gap = least[u]
+            if not gap < below:
+                break
+            v = int(near[u])
+            turn += 1
+            peak = max(peak, gap)
+            told[v] = turn, gap, peak
             size[u] += size[v]
             sums[u] = sums[u] + sums[v]
-            pool = np.vstack([reps[u], reps[v]])
-            mid = sums[u] / size[u]
-            if len(pool) > c:
-                picked = [int(np.argmax(((pool - mid) ** 2).sum(1)))]
-                while len(picked) < c:
-                    far = np.sqrt(((pool[:, None, :] - pool[picked][None, :, :]) ** 2).sum(-1)).sum(1)
-                    far[picked] = -1.0
-                    picked.append(int(np.argmax(far)))
-                pool = pool[picked]
-            reps[u] = pool + alpha * (mid - pool)
-            home = [u if h == v else h for h in home]
-            alive.remove(v)
+            reps[u] = spread(np.vstack([reps[u], reps[v]]), sums[u] / size[u])
+            table[u] = np.vstack([reps[u], np.repeat(reps[u][:1], wide - len(reps[u]), axis=0)])
+            home[home == v] = u
+            alive[v] = False
             dist[v, :] = dist[:, v] = np.inf
-            for w in alive:
-                if w != u:
-                    dist[u, w] = dist[w, u] = gap(u, w)
-        names = rows["cid"].to_numpy()
-        first = {u: min(names[i] for i in range(n) if home[i] == u) for u in alive}
-        return pd.DataFrame(
-            {
-                "old": names,
-                "cid": [first[h] for h in home],
-                "n": [int(size[h]) for h in home],
-                "ls": [sums[h].tolist() for h in home],
-                "reps": [reps[h].tolist() for h in home],
-            }
-        )
+            least[v] = np.inf
+            d = np.where(alive, gaps(reps[u]), np.inf)
+            dist[u, u + 1 :] = d[u + 1 :]
+            dist[:u, u] = d[:u]
+            stale = np.flatnonzero(alive & ((near == u) | (near == v)))
+            closer = np.flatnonzero((d[:u] < least[:u]) | ((d[:u] == least[:u]) & (u < near[:u])))
+            near[closer], least[closer] = u, d[closer]
+            for w in {u, *stale.tolist()}:
+                near[w] = int(np.argmin(dist[w]))
+                least[w] = dist[w, near[w]]
+        return home, size, sums, reps, told
+
+    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for region, part in rows.groupby("region"):
+            part = part.sort_values("cid").reset_index(drop=True)
+            home, size, sums, reps, told = solve(part, float(part["most"].iloc[0]))
+            names = part["cid"].to_numpy()
+            for i, h in enumerate(home.tolist()):
+                while_merged = (int(told[i, 0]), float(told[i, 1]), float(told[i, 2])) if told[i, 0] == told[i, 0] else (None, None, None)
+                own = (int(size[h]), sums[h].tolist(), reps[h].tolist()) if i == h else (0, None, None)
+                out.append((int(region), int(names[i]), int(names[h]), *own, *while_merged))
+        table = pd.DataFrame(out, columns=["region", "old", "cid", "n", "ls", "reps", "turn", "gap", "peak"])
+        return table.astype({"turn": "Int32"})
 
     return merge
 
 
-SCHEMA = "old bigint, cid bigint, n bigint, ls array<double>, reps array<array<double>>"
+def _solved(clusters: DataFrame, regions: DataFrame, most: DataFrame | float, c: int, alpha: float, below: float, groups: int) -> DataFrame:
+    """Merge the clusters of each region ``(cid, region)`` below a distance; ``most`` bounds the merges, per region or in all."""
+    rows = clusters.join(regions, "cid")
+    if isinstance(most, DataFrame):
+        rows = rows.join(most, "region")
+    else:
+        rows = rows.withColumn("most", F.lit(float(most)))
+    rows = spread_over(rows, "region").withColumn("deal", F.pmod(F.xxhash64("region"), F.lit(groups)))
+    return cut(rows.groupBy("deal").applyInPandas(_region_merger(c, alpha, below), SCHEMA))
+
+
+def _box_links(boxes: DataFrame, points: DataFrame, below: float, dim: int) -> DataFrame:
+    """``(src, dst)``: regions of ``boxes (region, lo, hi)`` and owners of ``points (region, lo, hi)`` that boxes come near.
+
+    A box is put into cells of the first power of two that covers it and the distance, so it meets a few cells; whatever it may meet is
+    put into the cells of all such sizes in use.
+    """
+    axes = range(min(dim, 2))
+    least = math.floor(math.log2(below)) if below > 0 else -LEVELS
+    extent = F.greatest(F.lit(2.0**least), *[F.col("hi")[i] - F.col("lo")[i] for i in axes])
+    level = F.least(F.ceil(F.log2(extent)), F.lit(least + LEVELS)).cast("int")
+    boxes = cut(boxes.withColumn("level", F.greatest(level, F.lit(least + 1))))
+    used = [r[0] for r in boxes.select("level").distinct().collect()]  # at most LEVELS numbers
+
+    def cells(df: DataFrame, room: float) -> DataFrame:
+        side = F.pow(F.lit(2.0), F.col("level"))
+        for i in axes:
+            first, last = F.floor((F.col("lo")[i] - F.lit(room)) / side), F.floor((F.col("hi")[i] + F.lit(room)) / side)
+            df = df.withColumn(f"cell{i}", F.explode(F.sequence(first, last)))
+        return df
+
+    keys = ["level", *[f"cell{i}" for i in axes]]
+    left = cells(boxes, below * (1 + 1e-9)).select(*keys, F.col("region").alias("src"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
+    everything = boxes.unionByName(points.withColumn("level", F.lit(least + 1)))
+    levels = F.filter(F.array(*[F.lit(x) for x in sorted(used)]), lambda x: x >= F.col("level"))
+    right = cells(everything.withColumn("level", F.explode(levels)), 0.0)
+    right = right.select(*keys, F.col("region").alias("dst"), "lo", "hi")
+    met = left.join(right, keys).filter(F.col("src") != F.col("dst"))
+    return met.filter(V.box_gap2("alo", "ahi", "lo", "hi", dim) <= F.lit(below * below * (1 + 1e-9))).select("src", "dst").distinct()
+
+
+def _near_clusters(clusters: DataFrame, below: float, dim: int) -> DataFrame:
+    """``(src, dst, dist)``: clusters with representatives closer than ``below``, once per pair."""
+    reps = clusters.select("cid", F.explode("reps").alias("features")).distinct()
+    rows, _, _ = numbered(reps, F.col("cid"), F.col("features"), name="id")
+    ix = index_of(with_dim(rows.select("id", "features"), dim))
+    owner = rows.select("id", "cid")
+    pairs = row_pairs(ix, below).filter((F.col("src") < F.col("dst")) & (F.col("dist") < F.lit(below)))
+    pairs = pairs.join(owner.select(F.col("id").alias("src"), F.col("cid").alias("a")), "src")
+    pairs = pairs.join(owner.select(F.col("id").alias("dst"), F.col("cid").alias("b")), "dst").filter(F.col("a") != F.col("b"))
+    both = pairs.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+    return cut(both.agg(F.min("dist").alias("dist")))
+
+
+def _regions(clusters: DataFrame, near: DataFrame, below: float, dim: int) -> DataFrame:
+    """``(cid, region)`` of the clusters that merges below a distance may touch."""
+    active = near.select(F.col("src").alias("id")).unionByName(near.select(F.col("dst").alias("id"))).distinct()
+    regions = cut(connected_components(active, near).select(F.col("id").alias("cid"), F.col("component").alias("region")))
+    corners = clusters.select("cid", F.concat("reps", F.array(V.centre_of("ls", "n"))).alias("at"), "reps")
+    while True:
+        inside = corners.join(regions, "cid").select("region", F.explode("at").alias("x"))
+        boxes = inside.groupBy("region").agg(V.per_dim(F.min, "x", dim).alias("lo"), V.per_dim(F.max, "x", dim).alias("hi"))
+        outside = corners.join(regions, "cid", "left_anti").select(F.col("cid").alias("region"), F.explode("reps").alias("lo"))
+        links = cut(_box_links(boxes, outside.withColumn("hi", F.col("lo")), below, dim))
+        if links.isEmpty():
+            return regions
+        ends = links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id"))).distinct()
+        joined = cut(connected_components(ends, links).select(F.col("id").alias("region"), "component"))
+        known = regions.join(joined, "region", "left").select("cid", F.coalesce("component", "region").alias("region"))
+        fresh = joined.join(regions.select("region").distinct(), "region", "left_anti")
+        regions = cut(known.unionByName(fresh.select(F.col("region").alias("cid"), F.col("component").alias("region"))))
+
+
+def _mutual(near: DataFrame) -> DataFrame:
+    """``(cid, region)``: pairs that are each other's nearest, each a region."""
+    both = near.select(F.col("src").alias("cid"), "dist", "src", "dst").unionByName(near.select(F.col("dst").alias("cid"), "dist", "src", "dst"))
+    best = both.groupBy("cid").agg(F.min(F.struct("dist", "src", "dst")).alias("b"))
+    votes = best.groupBy("b").agg(F.count(F.lit(1)).alias("votes")).filter("votes = 2")
+    return votes.select(F.explode(F.array("b.src", "b.dst")).alias("cid"), F.col("b.src").alias("region"))
 
 
 def merge_representatives(
-    points: DataFrame, k: int, c: int = 4, alpha: float = 0.1, part_rows: int = PART_ROWS, q: int = 2, seed: int = 42
+    points: DataFrame, k: int, c: int = 4, alpha: float = 0.1, group: int = GROUP
 ) -> tuple[DataFrame, DataFrame]:
-    """``(members, clusters)``: ``(id, cid)`` and ``(cid, n, ls, reps)`` for ``k`` clusters.
+    """``(members, clusters)``: ``(id, cid)`` and ``(cid, n, ls, reps)`` for ``k`` clusters, as by merging the closest pair each time.
+
+    Ties go to the smaller ids. A cluster is named by its smallest row; its representatives are ``c`` of its parts'
+    representatives, the first farthest from the mean, each next with the largest summed distance from those taken, all moved
+    toward the mean by ``alpha``. Copies of a location are one cluster from the start, so there are never more
+    clusters than locations.
 
-    Closest pairs by representatives merge one at a time inside a part. While there are
-    more clusters than one part holds, every part is cut down to 1/q of its clusters and
-    the survivors are dealt into fewer parts; the last pass is one bounded part. A part keeps at
-    least 2k clusters, so parts of fewer than ``4 k q`` rows are made that large: every pass then merges.
+    A region of more than ``group`` clusters below a distance makes the phase try a shorter one. Where no distance tells
+    clusters apart (more than ``group`` of them at one distance in a row, as on a lattice), mutually nearest pairs merge side by side.
     """
-    part_rows = max(part_rows, 4 * k * q)
-    cur = points.select(
-        F.col("id").alias("cid"), F.lit(1).cast("bigint").alias("n"), F.col("features").alias("ls"), F.array("features").alias("reps")
+    ix = knn_index(points, 1)
+    dim, count = ix.dim, ix.n
+    copies = F.least("w", F.lit(c)).cast("int")
+    clusters = cut(
+        ix.points.select(
+            F.col("pid").alias("cid"),
+            F.col("w").cast("bigint").alias("n"),
+            F.transform("features", lambda v: v * F.col("w")).alias("ls"),
+            F.array_repeat("features", copies).alias("reps"),
+        )
     )
-    members = points.select("id", F.col("id").alias("cid"))
-    while True:
-        ranked, total, _ = numbered(cur, F.xxhash64("cid", F.lit(seed)), F.col("cid"), name="pos")
-        parts = -(-total // part_rows)
-        last = parts <= 1
-        merge = _part_merger(c, alpha, 0.0 if last else 1.0 / q, k if last else max(2 * k, 1))
-        tagged = ranked.withColumn("part", F.floor(F.col("pos") * F.lit(parts) / F.lit(max(total, 1))))
-        out = cut(tagged.drop("pos").groupBy("part").applyInPandas(merge, SCHEMA))
-        hop = out.select(F.col("old").alias("cid"), F.col("cid").alias("into"), "n")  # n is no less than the rows of the old one
-        members = cut(attach(members, hop, "cid", "n", by="id").select("id", F.col("into").alias("cid")))
-        cur = cut(out.groupBy("cid").agg(F.first("n").alias("n"), F.first("ls").alias("ls"), F.first("reps").alias("reps")))
-        if last:
-            return members, cur
-
-
-def cure(points: DataFrame, k: int, c: int = 4, alpha: float = 0.1, part_rows: int = PART_ROWS, seed: int = 42):
+    hooks, done, grow = None, 0.0, 1.5
+    below = None
+    if count > group:
+        below = location_knn(ix, 1).agg(F.percentile_approx("dist", 0.5, 1000)).first()[0] * (1 + 1e-12)
+    while count > k:
+        rest = clusters.select("cid", F.lit(0).cast("bigint").alias("region"))
+        if count <= group:
+            out = _solved(clusters, rest, count - k, c, alpha, math.inf, 1)
+        else:
+            near = _near_clusters(clusters, below, dim)
+            regions, limit = (None, 0) if near.isEmpty() else (_regions(clusters, near, below, dim), 1)
+            if regions is None:
+                done, below, grow = below, below * grow, min(grow * 1.5, 8.0)
+                continue
+            largest, active = regions.groupBy("region").count().agg(F.max("count"), F.sum("count")).first()
+            if largest > group:
+                least = near.agg(F.min("dist")).first()[0] * (1 + 1e-9)
+                if below > least:
+                    below, grow = max((done + below) / 2, least), max(1 + (grow - 1) / 2, 1.05)
+                    continue
+                regions, limit = cut(_mutual(near)), 2
+                active = regions.count()
+            groups = max(-(-2 * active // group), 1)
+            out = _solved(clusters, regions, math.inf if limit == 1 else 1, c, alpha, below, groups)
+            made = out.filter(F.col("turn").isNotNull()).count()
+            if made > count - k:
+                # the order of all merges: a region's next one comes up once its earlier ones are made
+                order, _, _ = numbered(out.filter(F.col("turn").isNotNull()), F.col("peak"), F.col("region"), F.col("turn"), name="at")
+                first = order.filter(F.col("at") < F.lit(count - k)).groupBy("region").agg(F.count(F.lit(1)).cast("double").alias("most"))
+                out = _solved(clusters, regions, cut(first), c, alpha, below, groups)
+            if limit == 1:
+                done = below
+                below = below * grow
+                grow = min(grow * 1.2, 4.0) if made < 0.05 * count else grow
+        moved = out.filter(F.col("turn").isNotNull()).select(F.col("old").alias("id"), F.col("cid").alias("parent"))
+        hooks = moved if hooks is None else cut(hooks.unionByName(moved))
+        kept = out.filter(F.col("turn").isNull()).select("cid", "n", "ls", "reps")
+        clusters = cut(clusters.join(out.select(F.col("old").alias("cid")), "cid", "left_anti").unionByName(kept))
+        count = clusters.count()
+    at = ix.points.select(F.col("pid").alias("id"))
+    if hooks is None:
+        named = at.select(F.col("id").alias("pid"), F.col("id").alias("cid"))
+    else:
+        roots = compress(at.join(hooks, "id", "left").select("id", F.coalesce("parent", "id").alias("parent")))
+        named = roots.select(F.col("id").alias("pid"), F.col("root").alias("cid"))
+    return cut(ix.spread(cut(named))), clusters
+
+
+def cure(points: DataFrame, k: int, c: int = 4, alpha: float = 0.1, group: int = GROUP):
     """``(labels, reps)``: ``(id, label)`` from 0 by smallest member, and ``(label, rep)``."""
-    members, clusters = merge_representatives(points, k, c, alpha, part_rows, seed=seed)
+    members, clusters = merge_representatives(points, k, c, alpha, group)
     order, _, _ = numbered(clusters, F.col("cid"), name="label")
     named = order.withColumn("label", F.col("label").cast("int"))
     labels = attach(members, named.select("cid", "label", "n"), "cid", "n", by="id").select("id", "label")
@@ -131,13 +299,13 @@ def cure(points: DataFrame, k: int, c: int = 4, alpha: float = 0.1, part_rows: i
 
 def cure_sampled(
     points: DataFrame, k: int, c: int = 4, alpha: float = 0.3, u_min: int | None = None, f: float = 0.3, d: float = 0.02,
-    n_reps: int | None = None, part_rows: int = PART_ROWS, seed: int = 42,
+    n_reps: int | None = None, group: int = GROUP, seed: int = 42,
 ):
     """The same on a Chernoff-sized sample; every row then takes the label of its nearest
     representative: ``(labels, reps)`` with labels ``(id, label, dist)``."""
     n = sample_size(points.count(), k, u_min, f, d)
     sample = cut(sample_n(points, n, seed))
-    _, reps = cure(sample.withMetadata("features", {"dim": dim_of(points)}), k, c, alpha, part_rows, seed)
+    _, reps = cure(sample.withMetadata("features", {"dim": dim_of(points)}), k, c, alpha, group)
     rows, _, _ = numbered(reps, F.col("label"), F.xxhash64("rep", F.lit(seed)), name="center")
     if n_reps is not None:
         from pyspark.sql import Window as W

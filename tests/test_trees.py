@@ -131,10 +131,10 @@ def test_cure_five_points(vec):
     assert got == sorted([(0.0, 0.05), (0.0, 0.95), (0.9667, 2.9333), (0.1117, 2.0333), (0.9217, 2.0333)])
 
 
-def test_cure_in_parts_keeps_all_rows(vec):
+def test_cure_keeps_all_rows(vec):
     rng = np.random.default_rng(10)
     x = np.vstack([rng.normal(c, 0.1, (30, 2)) for c in (0, 5, 10)])
-    labels, _ = cure.cure(vec(x.tolist()), 3, part_rows=40)
+    labels, _ = cure.cure(vec(x.tolist()), 3)
     rows = labels.orderBy("id").toPandas()
     assert len(rows) == 90 and rows.label.tolist() == [0] * 30 + [1] * 30 + [2] * 30
 
