@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from ..session import cut, numbered
 
 OPEN, END = "### ", "</turn>\n"
@@ -49,8 +50,9 @@ def turns_of(formatted: str) -> list[tuple[str, str, int, int]]:
 def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """Root-to-leaf paths of the best ``branches`` leaves of each tree: ``(tree, leaf, rank, id, depth)``.
 
-    ``nodes`` has ``tree, id, parent, score``; ids are distinct over all trees, a parent that is null or not there
-    makes a root. A leaf's rank is by the sum of the scores on its path, ties by the smaller id; null scores count 0.
+    ``nodes`` has ``tree, id, parent, score``; ids are distinct over all trees (see ``first_messages``), a parent that is null or not
+    there makes a root. Where parents form a cycle, its smallest id is a root. A leaf's rank is by the sum of the scores on its
+    path, ties by the smaller id; null scores count 0.
     """
     known = nodes.select(F.col("id").alias("parent"))
     base = nodes.join(known, "parent", "left_semi").select("id", F.col("parent").alias("up"))
@@ -61,7 +63,16 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     parents = level.select(F.col("up").alias("id")).filter("id is not null").distinct()
     done = level.filter(F.col("up").isNull())
     jumps = [level.filter(F.col("up").isNotNull())]
+    n = level.count()
     while not jumps[-1].isEmpty():
+        if 1 << (len(jumps) - 1) >= n:
+            # no path is that long, so what is open ends in cycles, and the ancestors so far up are the rows of the cycles
+            rows = jumps[-1].select(F.col("up").alias("id")).distinct()
+            around = jumps[0].join(rows, "id").select(F.col("id").alias("src"), F.col("up").alias("dst"))
+            cycles = cut(connected_components(rows, around))
+            roots = cycles.select(F.col("component").alias("id")).distinct().withColumn("root", F.lit(True))
+            freed = nodes.join(roots, "id", "left").withColumn("parent", F.when(F.col("root").isNull(), F.col("parent")))
+            return paths(cut(freed.select("tree", "id", "parent", "score")), branches)
         above = done.unionByName(jumps[-1]).select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("score").alias("__score"), F.col("steps").alias("__steps"))
         level = cut(
             jumps[-1].join(above, "up").select(
@@ -81,12 +92,21 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     return found
 
 
-def format_trees(nodes: DataFrame, branches: int = 1, loss_role: str = "assistant") -> DataFrame:
+def first_messages(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with each id once: of rows that repeat it, the smallest by tree, parent, role, text and score (null first)."""
+    cols = ["tree", "parent", "role", "text", "score"]
+    return nodes.groupBy("id").agg(F.min(F.struct(*cols)).alias("m")).select("id", *[F.col(f"m.{c}").alias(c) for c in cols])
+
+
+def format_trees(nodes: DataFrame, branches: int = 1, loss_role: str = "assistant", distinct_ids: bool = False) -> DataFrame:
     """``(tree, leaf, rank, n_turns, formatted, loss_spans)``: one conversation per chosen path.
 
     ``nodes`` has ``tree, id, parent, role, text, score``. ``loss_spans`` are the code points of ``formatted`` from and to
-    which the loss counts: each text of ``loss_role``, in order. Null roles and texts are empty.
+    which the loss counts: each text of ``loss_role``, in order. Null roles and texts are empty. Of messages that repeat an id the
+    first is told (``first_messages``); ``distinct_ids`` says that there are none.
     """
+    if not distinct_ids:
+        nodes = cut(first_messages(nodes))
     marked = F.concat(F.lit(OPEN), escaped(F.col("role"), True), F.lit(": "), escaped(F.col("text")), F.lit(END))
     turns = nodes.select("id", marked.alias("turn"), F.length(escaped(F.col("text"))).alias("size"), F.coalesce(F.col("role") == loss_role, F.lit(False)).alias("loss"))
     rows = paths(nodes, branches).join(turns, "id")

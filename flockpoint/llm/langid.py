@@ -31,10 +31,12 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 def sample_by_label(rows: DataFrame, label: str, per_label: int, text: str) -> DataFrame:
     """About ``per_label`` distinct texts of each label at most, as ``(label, text)``: those whose hash falls under the
-    label's share ``per_label / rows``, so that copies of a text come once and a label's rows are never gathered to choose.
+    label's share ``per_label / distinct texts``, so that copies of a text count and come once, a label with few texts gives them
+    all however often they stand, and a label's rows are never gathered to choose.
     """
     h = F.xxhash64(text)
-    shares = rows.groupBy(F.col(label).alias("__l")).agg((F.lit(float(per_label)) / F.count(F.lit(1))).alias("__share"))
+    known = rows.select(F.col(label).alias("__l"), h.alias("__h")).distinct()
+    shares = known.groupBy("__l").agg((F.lit(float(per_label)) / F.count(F.lit(1))).alias("__share"))
     shares = cut(shares)  # one row per label; its true size decides how it meets the rows
     place = F.pmod(h, F.lit(1 << 32)) / float(1 << 32)
     chosen = rows.join(shares, (F.col(label) == F.col("__l")) & (place < F.col("__share")))

@@ -205,9 +205,12 @@ def score(docs: DataFrame, model: Machine | None, id_col: str = "doc_id", text_c
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = 8_000, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with ``y`` for about ``rows`` labelled ids at most: those whose hash falls under ``rows`` of all labelled ids.
 
-    The chosen ids are broadcast, ``rows`` bounds them. Null labels are left out; of an id with several labels the smallest counts.
+    The chosen ids are broadcast, ``rows`` bounds them. Null labels are left out; of an id with several labels the smallest counts,
+    and of rows that repeat an id the one with the smallest hash, so ``rows`` bounds the sample too.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label).alias("y"))
     share = rows / max(known.count(), 1)
     chosen = known.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 32)) / float(1 << 32) < share)
-    return docs.join(F.broadcast(chosen), id_col)
+    met = docs.join(F.broadcast(chosen), id_col)
+    row = F.struct(*[F.col(f"`{c}`") for c in met.columns])
+    return met.groupBy(F.col(id_col).alias("id")).agg(F.min_by(row, F.xxhash64(row)).alias("row")).select("row.*")

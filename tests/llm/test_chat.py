@@ -49,3 +49,10 @@ def test_edges(spark):
     assert digests(format_trees(message_chains(spark.createDataFrame([], schema)))).count() == 0
     orphan = spark.createDataFrame([(1, 5, 99, None, "a", None), (1, 6, 5, "assistant", "b", 1.0)], NODES)
     assert [r["n_turns"] for r in format_trees(orphan).collect()] == [2]
+
+
+def test_cycles_and_repeated_ids_end(spark):
+    schema = "tree long, id long, parent long, role string, text string, score double"
+    rows = [(1, 5, 6, "user", "a", 1.0), (1, 6, 5, "assistant", "b", 1.0), (1, 7, 6, "user", "c", 1.0), (2, 8, 8, "user", "self", None), (3, 9, None, "user", "x", 0.0), (3, 9, None, "user", "w", 0.0), (3, 10, 9, "assistant", "y", 0.0)]
+    told = {r["tree"]: [t[1] for t in turns_of(r["formatted"])] for r in format_trees(spark.createDataFrame(rows, schema)).collect()}
+    assert told == {1: ["a", "b", "c"], 2: ["self"], 3: ["w", "y"]}

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 
-from flockpoint.llm.langid import Model, identify, tagged, train, windows
+from flockpoint.llm.langid import sample_by_label, Model, identify, tagged, train, windows
 
 
 def plain_bits(text, training, order):
@@ -76,3 +76,10 @@ def test_held_out_accuracy(spark):
     truth = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "lang")
     rows = out.join(truth, "doc_id").selectExpr("avg(cast(lang = lang_pred as int)) a", "count(*) n").first()
     assert rows["n"] > 100 and rows["a"] > 0.98
+
+
+def test_a_language_of_many_copies_is_learned(spark):
+    rows = [("en", f"the {i} of and") for i in range(50)] + [("xx", f"text number {i}") for i in range(5)] * 4000
+    df = spark.createDataFrame(rows, "lang string, text string")
+    few = [tuple(r) for r in sample_by_label(df, "lang", 2000, "text").collect()]
+    assert len(few) == len(set(few)) == 55 and sum(lang == "xx" for lang, _ in few) == 5

@@ -52,3 +52,10 @@ def test_edges(spark, edge, empty):
     assert quality.score(empty, model, metadata=("n_chars",)).count() == 0
     assert quality.train(sample.filter(F.lit(False))) is None
     assert {r["score"] for r in quality.score(edge, None).collect()} == {0.5}
+
+
+def test_repeated_ids_are_one_row_of_the_sample(spark):
+    docs = spark.range(20_000).selectExpr("id % 20 as doc_id", "concat('text ', id % 60) as text", "id as n_chars")
+    labels = spark.range(20).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    got = quality.labelled_sample(docs, labels, "quality", rows=100).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(20)) and all(r["y"] == r["doc_id"] % 2 for r in got)
