@@ -1,7 +1,7 @@
 """Medoid clusterings: whole-table swaps, sampled runs, and random swaps scored in batches.
 
-Medoids and candidates travel inside the plan as constants of bounded size, so a round
-is one scan with a partial aggregate.
+Members that may replace a medoid are a table, cut down by bounds; sampled medoids and random swaps travel inside the
+plan, so their rounds are one scan with a partial aggregate.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators.assign import MAX_VALUES, assign_nearest, best_run, summed_mean_cost
-from ..session import cut
+from ..operators.assign import assign_nearest, best_run, summed_mean_cost
+from ..session import attach, cut
 from ..sources.points import dim_of, sample_key, sample_n, sample_per_run
 
+NODES = 256  # cells of a cluster that bound a member's mean distance
+
 
 def _frame(points: DataFrame, rows) -> DataFrame:
     return points.sparkSession.createDataFrame(
@@ -48,63 +50,109 @@ def distant_start(points: DataFrame, k: int, low: float = 0.8, high: float = 0.9
     return chosen
 
 
+def _scored_members(now: DataFrame, stats: DataFrame, dim: int, seed: int) -> DataFrame:
+    """``now`` with the bounds ``low`` and ``high`` of a member's mean distance to its cluster.
+
+    A cluster's box is cut into at most ``NODES`` cells. With ``n`` members about a mean ``m`` in a cell, the distances of a
+    member to them sum to ``n * d(member, m)`` at least, and to that plus the cell's own distances from ``m`` at most.
+    """
+    dist = V.metric("euclidean", dim)
+    axes = min(dim, NODES.bit_length() - 1)
+    side = max(2, int(NODES ** (1 / axes) + 1e-9))
+    cell = F.lit(0)
+    for i in range(axes):
+        f, lo, hi = F.col("features")[i], F.col("lo")[i], F.col("hi")[i]
+        step = F.when(hi > lo, F.least(F.floor((f - lo) / (hi - lo) * side), F.lit(side - 1))).otherwise(F.lit(0))
+        cell = cell * side + step.cast("int")
+    placed = cut(attach(now, stats, "center", "n", by="id").select("id", "features", "center", cell.alias("cell")))
+    nodes = placed.groupBy("center", "cell").agg(F.count(F.lit(1)).alias("w"), V.per_dim(F.avg, "features", dim).alias("m"))
+    lists = nodes.groupBy("center").agg(F.collect_list(F.struct("cell", "w", "m")).alias("nodes"), F.sum("w").alias("n"))
+    met = attach(placed, cut(lists), "center", "n", by="id")
+    least = F.aggregate("nodes", F.lit(0.0), lambda s, x: s + x["w"] * dist(F.col("features"), x["m"])) / F.col("n")
+    own = dist(F.col("features"), F.filter("nodes", lambda x: x["cell"] == F.col("cell"))[0]["m"])
+    scored = cut(met.select("id", "features", "center", sample_key(seed).alias("h"), least.alias("low"), own.alias("own")))
+    slack = scored.groupBy("center").agg(F.avg("own").alias("slack"))
+    info = cut(stats.select("center", "n", "mean").join(slack, "center"))
+    return attach(scored, info, "center", "n", by="id").select(
+        "id", "features", "center", "h", "mean", "low", (F.col("low") + F.col("slack")).alias("high")
+    )
+
+
+def first_better(now: DataFrame, dim: int, seed: int = 42, batch: int = 256) -> dict[int, tuple]:
+    """For each cluster of ``now (id, features, center, dist)`` the first member, in hash order, whose mean distance to the
+    members is below the present one: ``{center: (id, features)}``, without clusters that have none.
+
+    Bounds settle most members: those that cannot improve are dropped, the first that is sure to ends the search of its
+    cluster. What lies before it is a table, and is tried exactly in hash order, about ``batch`` members of a cluster at a
+    time, by a join on the split cluster. The driver sees one row per cluster.
+    """
+    dist = V.metric("euclidean", dim)
+    stats = cut(
+        now.groupBy("center").agg(
+            F.count(F.lit(1)).alias("n"), F.avg("dist").alias("mean"),
+            V.per_dim(F.min, "features", dim).alias("lo"), V.per_dim(F.max, "features", dim).alias("hi"),
+        )
+    )
+    able = _scored_members(now, stats, dim, seed).filter((F.col("id") != F.col("center")) & (F.col("low") < F.col("mean") * (1 + 1e-9)))
+    able = cut(able.withColumn("sure", F.col("high") < F.col("mean") * (1 - 1e-9)))
+    sure = able.filter("sure").groupBy("center").agg(F.min(F.struct("h", "id", "features")).alias("stop"))
+    sure = cut(sure)
+    before = F.col("stop").isNull() | (F.struct("h", "id") < F.struct("stop.h", "stop.id"))
+    open_ = cut(able.filter(~F.col("sure")).join(sure, "center", "left").filter(before).select("id", "features", "center", "h"))
+    left = {r["center"]: r["count"] for r in open_.groupBy("center").count().collect()}
+    out: dict[int, tuple] = {}
+    low = dict.fromkeys(left, -(2**63) - 1)
+    while left:
+        spans = []
+        for c, n in left.items():
+            top = min(low[c] + 1 + int(2**64 * min(1.0, batch / n)), 2**63 - 1)
+            spans.append((int(c), max(low[c], -(2**63)), top, low[c] < -(2**63)))
+            low[c] = top
+        asked = cut(now.sparkSession.createDataFrame(spans, "center bigint, above bigint, top bigint, lowest boolean"))
+        fits = (F.col("lowest") | (F.col("h") > F.col("above"))) & (F.col("h") <= F.col("top"))
+        tried = open_.join(asked, "center").filter(fits).groupBy("center").agg(
+            F.collect_list(F.struct("h", F.col("id").alias("i"), F.col("features").alias("f"))).alias("tried")
+        )
+        means = (
+            attach(now, cut(tried.join(stats.select("center", "n", "mean"), "center")), "center", "n", by="id")
+            .select("center", "mean", "features", F.explode("tried").alias("s"))
+            .groupBy("center", F.col("s.i").alias("i"))
+            .agg(
+                F.avg(dist(F.col("features"), F.col("s.f"))).alias("got"),
+                F.first("mean").alias("mean"), F.first("s.h").alias("h"), F.first("s.f").alias("f"),
+            )
+        )
+        best = means.filter("got < mean").groupBy("center").agg(F.min(F.struct("h", "i", "f")).alias("b"))
+        for r in best.collect():  # one row per cluster
+            out[r["center"]] = (r["b"]["i"], r["b"]["f"])
+        left = {c: n for c, n in left.items() if c not in out and low[c] < 2**63 - 1}
+    for r in sure.collect():  # one row per cluster
+        out.setdefault(r["center"], (r["stop"]["id"], r["stop"]["features"]))
+    return out
+
+
 def kmedoids(
-    points: DataFrame, k: int, max_iter: int = 10, tol: float = 0.1, low: float = 0.8, high: float = 0.99,
-    seed: int = 42, max_values: int = MAX_VALUES,
+    points: DataFrame, k: int, max_iter: int = 10, tol: float = 0.1, low: float = 0.8, high: float = 0.99, seed: int = 42
 ) -> DataFrame:
     """``(id, medoid, dist)``. Within each cluster the first member, in hash order, with a lower
-    mean distance becomes the medoid; stops when the summed means gain no more than ``tol``.
-
-    Candidates are taken in hash-ordered batches that fit a constant, until each cluster has
-    an improvement or no candidate is left; a member further from the cluster's mean than
-    the present mean distance cannot improve and is not tried.
+    mean distance becomes the medoid (``first_better``); stops when the summed means gain no more than ``tol``.
     """
     dim = dim_of(points)
     points = points.persist()
-    total = points.count()
     medoids = distant_start(points, k, low, high, seed)
-    batches = max(1, -(-total * dim * 2 // max_values))
-    dist = V.metric("euclidean", dim)
     best = None
     for _ in range(max_iter):
         now = cut(assign_nearest(points, _frame(points, medoids)).join(points, "id").select("id", "features", "center", "dist"))
         objective = summed_mean_cost(now).first()["objective"]
         if best is not None and not (best[0] - objective > tol):
             break
-        best = (objective, list(medoids), now)
-        stats = now.groupBy("center").agg(
-            F.count(F.lit(1)).alias("n"), F.avg("dist").alias("mean"), V.per_dim(F.avg, "features", dim).alias("mid")
-        )
-        info = {r["center"]: r for r in stats.collect()}
-        swaps: dict[int, tuple] = {}
-        for batch in range(batches):
-            left = [c for c in info if c not in swaps]
-            if not left:
-                break
-            test = F.lit(False)
-            for c in left:
-                mid = F.array(*[F.lit(float(v)) for v in info[c]["mid"]])
-                near = dist(F.col("features"), mid) < F.lit(float(info[c]["mean"]))
-                test = test | ((F.col("center") == c) & near & (F.col("id") != c))
-            bucket = F.pmod(sample_key(seed), F.lit(batches)) == batch
-            cands = now.filter(bucket & test).select("id", "features", "center", sample_key(seed).alias("h")).collect()
-            if not cands:
-                continue
-            text = json.dumps([{"c": r["center"], "i": r["id"], "f": list(r["features"])} for r in cands])
-            table = F.from_json(F.lit(text), "array<struct<c: bigint, i: bigint, f: array<double>>>")
-            mine = F.filter(table, lambda s: s["c"] == F.col("center"))
-            trial = now.select("center", "features", F.explode(mine).alias("s")).groupBy("center", F.col("s.i").alias("i")).agg(
-                F.avg(dist(F.col("features"), F.col("s.f"))).alias("mean")
-            )
-            by_id = {r["id"]: r for r in cands}
-            better = [r for r in trial.collect() if r["mean"] < info[r["center"]]["mean"]]
-            for r in sorted(better, key=lambda r: (by_id[r["i"]]["h"], r["i"])):
-                swaps.setdefault(r["center"], (r["i"], by_id[r["i"]]["features"]))
+        best = (objective, now)
+        swaps = first_better(now, dim, seed)
         if not swaps:
             break
         medoids = [swaps.get(m[0], m) for m in medoids]
     points.unpersist()
-    return best[2].select("id", F.col("center").alias("medoid"), "dist")
+    return best[1].select("id", F.col("center").alias("medoid"), "dist")
 
 
 def _sample_solver(k: int, metric: str, seed: int, tries: int, max_iter: int):
