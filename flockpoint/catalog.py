@@ -1083,13 +1083,35 @@ def _(spark, sf):
     return ix.spread(found.withColumnRenamed("id", "pid"))
 
 
-for _link in ("complete", "average", "ward"):
+for _link in ("complete", "average"):
 
     @query(f"{_link}_linkage_merges")
     def _(spark, sf, _link=_link):
         return agglomerative.agglomerate(supp1d(spark, sf), _link).withColumn("height", r6("height"))
 
 
+# on a line the cheapest Ward merge is between neighbours: of three clusters in a row, one inner pair costs less than the outer pair
+@query(
+    "ward_linkage_merges",
+    """
+    with recursive u as (select s_acctbal x, min(s_suppkey)::bigint id, count(*)::bigint n from supplier group by 1),
+    walk as (
+      select 0::bigint step, list({'id': id, 'n': n, 's': x * n, 'made': 0::bigint} order by x) c,
+        null::bigint a, null::bigint b, null::bigint made_a, null::bigint made_b, null::double h, null::bigint size from u
+      union all
+      select step + 1, c[1:i - 1] || [{'id': least(l.id, r.id), 'n': l.n + r.n, 's': l.s + r.s, 'made': step + 1}] || c[i + 2:],
+        least(l.id, r.id), greatest(l.id, r.id), case when l.id < r.id then l.made else r.made end,
+        case when l.id < r.id then r.made else l.made end, costs[i].h, l.n + r.n
+      from (select step, c, costs, i, c[i] l, c[i + 1] r from (select step, c, costs, list_position(costs, list_min(costs)) i from (
+        select step, c, list_transform(range(1, len(c)), lambda k: {'h': c[k].n * c[k + 1].n / (c[k].n + c[k + 1].n)
+          * ((c[k].s / c[k].n - c[k + 1].s / c[k + 1].n) * (c[k].s / c[k].n - c[k + 1].s / c[k + 1].n)),
+          'a': least(c[k].id, c[k + 1].id), 'b': greatest(c[k].id, c[k + 1].id)}) costs from walk where len(c) > 1))))
+    select step, a "left", b "right", made_a left_step, made_b right_step, round(h, 3) height, size from walk where step > 0""",
+)
+def _(spark, sf):
+    return agglomerative.agglomerate(supp1d(spark, sf), "ward").withColumn("height", F.round("height", 3))
+
+
 @query("cure")
 def _(spark, sf):
     return cure.cure(user2d(spark, sf), 4, c=4, alpha=0.2)[0]

@@ -1,25 +1,33 @@
 """Agglomerative clustering to a merge table.
 
-Single linkage comes from the spanning forest and has no size limit. The other linkages
-are defined on all pairs of clusters; pairs that are one another's nearest merge together
-in a round, which gives the same tree as one merge at a time. Their first pair table has
-one row per pair of locations, so larger tables are first reduced to clustering features.
+Single linkage comes from the spanning forest and has no size limit. In the other linkages
+pairs that are one another's nearest merge together in a round, which gives the same tree
+as one merge at a time.
+
+Ward's merge cost depends on the sizes and centres of two clusters only, so each round finds
+the nearest clusters by a search on a block tree over the centres and has no size limit
+either. Complete and average linkage are defined on all pairs of members; their first pair
+table has one row per pair of locations, so larger tables are first reduced to features.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators.blocks import BlockIndex, point_pairs, walk_pairs
-from ..operators.components import compress
+from ..operators.blocks import SLACK, BlockIndex, block_index, point_pairs, spread_over, walk_pairs, with_points
+from ..operators.components import compress, in_one_task
 from ..operators.forest import merge_table
 from ..operators.neighbours import knn_index, location_knn
 from ..operators.summaries import check_linkage
 from ..session import cut, numbered
+from ..sources.points import with_dim
 
 PAIR_ROWS = 20_000  # locations whose full pair table is accepted
+FINISH_CLUSTERS = 2_000  # clusters whose last Ward merges run in one task
+MERGES = "turn bigint, left bigint, right bigint, made_i bigint, made_j bigint, height double, size bigint"
 
 
 def single_linkage(points: DataFrame | BlockIndex) -> DataFrame:
@@ -32,6 +40,120 @@ def single_linkage(points: DataFrame | BlockIndex) -> DataFrame:
     return merge_table(ix.points.select(F.col("pid").alias("id"), "w"), forest)
 
 
+def _ward_cost(n_i, n_j, d2):
+    return n_i * n_j / (n_i + n_j) * d2
+
+
+def _ward_nearest(parts: DataFrame, dim: int) -> DataFrame:
+    """``(id, height, ci, cj)``: the cheapest merge of every cluster ``(label, n, ls)``, ties to the smaller ids.
+
+    The cheapest merge inside the own block bounds the search. A node pair is dropped when
+    the least size on either side at the gap of the boxes costs more than the largest bound.
+    """
+    at = cut(parts.select(F.col("label").alias("id"), "n", V.centre_of("ls", "n").alias("features")))
+    ix = block_index(with_dim(at.select("id", "features"), dim))
+    pts = cut(ix.points.select("pid", "block", "features").join(ix.copies().join(at.select("id", "n"), "id"), "pid"))
+    p = pts.select("block", *[F.col(c).alias(f"p_{c}") for c in ("id", "n", "features")])
+    q = pts.select(F.col("block").alias("q_block"), *[F.col(c).alias(f"q_{c}") for c in ("id", "n", "features")])
+    cost = _ward_cost(F.col("p_n"), F.col("q_n"), V.sqeuclidean("p_features", "q_features", dim))
+    inner = p.join(q, F.col("block") == F.col("q_block")).filter(F.col("p_id") != F.col("q_id"))
+    bound = inner.groupBy(F.col("p_id").alias("id")).agg(F.min(cost).alias("most"))
+    pts = cut(pts.join(bound, "id").withColumn("w", F.lit(1)))
+    ball = with_points(ix, pts, {"most": ("max", F.col("most")), "n": ("min", F.col("n"))})
+    least = _ward_cost(F.col("a_n"), F.col("b_n"), F.col("gap2"))
+    leaves, _ = walk_pairs(ball, ball, least <= F.col("a_most") * F.lit(1.0 + SLACK))
+    boxes = leaves.select("a_node", "b_node", "b_lo", "b_hi", "b_n")
+    p = pts.select("block", *[F.col(c).alias(f"p_{c}") for c in ("id", "n", "features", "most")])
+    gap = V.box_gap2("p_features", "p_features", "b_lo", "b_hi", dim)
+    reach = p.join(boxes, F.col("block") == F.col("a_node")).filter(
+        _ward_cost(F.col("p_n"), F.col("b_n"), gap) <= F.col("p_most") * F.lit(1.0 + SLACK)
+    )
+    met = spread_over(reach.select("b_node", "p_id", "p_n", "p_features"), "b_node").join(q, F.col("b_node") == F.col("q_block"))
+    pair = F.struct(cost.alias("height"), F.least("p_id", "q_id").alias("ci"), F.greatest("p_id", "q_id").alias("cj"))
+    best = met.filter(F.col("p_id") != F.col("q_id")).groupBy(F.col("p_id").alias("id")).agg(F.min(pair).alias("b"))
+    return best.select("id", "b.height", "b.ci", "b.cj")
+
+
+def _ward_finish(turn: int):
+    """The greedy merges of a checked number of clusters, as columns of ``MERGES``; the cheapest pair first, ties to the smaller ids."""
+
+    def fold(label, n, made, *ls):
+        order = np.argsort(label)
+        label, n, made = label[order], n[order].astype("int64"), made[order].astype("int64")
+        ls = np.stack(ls, axis=1)[order]
+        size = len(label)
+
+        def costs(i, others):
+            gap = ls[i] / n[i] - ls[others] / n[others, None]
+            return _ward_cost(n[i], n[others], (gap * gap).sum(axis=1))
+
+        table = np.full((size, size), np.inf)  # row < column
+        for i in range(size - 1):
+            table[i, i + 1 :] = costs(i, np.arange(i + 1, size))
+        arg = table.argmin(axis=1)
+        low = table[np.arange(size), arg]
+        alive, out = np.ones(size, bool), []
+        for step in range(size - 1):
+            i = int(low.argmin())
+            j = int(arg[i])
+            out.append((turn + step, label[i], label[j], made[i], made[j], low[i], n[i] + n[j]))
+            n[i], made[i], alive[j] = n[i] + n[j], turn + step, False
+            ls[i] += ls[j]
+            table[j, :] = table[:, j] = np.inf
+            low[j] = np.inf
+            others = np.flatnonzero(alive)
+            others = others[others != i]
+            fresh = costs(i, others)
+            table[np.minimum(others, i), np.maximum(others, i)] = fresh
+            stale = alive & ((arg == i) | (arg == j))
+            stale[i] = True
+            rows = np.flatnonzero(stale)
+            arg[rows] = table[rows].argmin(axis=1)
+            low[rows] = table[rows, arg[rows]]
+            up = others[others < i]
+            better = (table[up, i] < low[up]) | ((table[up, i] == low[up]) & (i < arg[up]))
+            low[up[better]], arg[up[better]] = table[up[better], i], i
+        kinds = ("int64",) * 5 + ("float64", "int64")
+        return [np.array(c, kind) for c, kind in zip(zip(*out) if out else [()] * 7, kinds)]
+
+    return fold
+
+
+def _merge_rounds(parts: DataFrame, dim: int, finish: int) -> DataFrame:
+    """Ward merges ``MERGES`` of clusters ``(label, n, ls, made)`` by rounds of mutually cheapest pairs; the last
+    ones, from ``finish`` clusters on, in one task."""
+    merged, turn, left = None, 0, parts.count()
+    while left > max(finish, 1):
+        turn += 1
+        best = cut(_ward_nearest(parts, dim))
+        mutual = best.groupBy("ci", "cj", "height").agg(F.count(F.lit(1)).alias("votes")).filter(F.col("votes") == 2)
+        a = parts.select(F.col("label").alias("ci"), F.col("n").alias("n_i"), F.col("made").alias("made_i"))
+        b = parts.select(F.col("label").alias("cj"), F.col("n").alias("n_j"), F.col("made").alias("made_j"))
+        met = mutual.join(a, "ci").join(b, "cj")
+        size = (F.col("n_i") + F.col("n_j")).alias("size")
+        new = cut(met.select(F.lit(turn).cast("long").alias("turn"), F.col("ci").alias("left"), F.col("cj").alias("right"), "made_i", "made_j", "height", size))
+        merged = new if merged is None else merged.unionByName(new)
+        parts = _joined_parts(parts, new, dim, turn)
+        left = parts.count()
+    if left > 1:
+        flat = parts.select("label", "n", "made", *[F.col("ls")[i].alias(f"ls{i}") for i in range(dim)])
+        last = in_one_task(flat, _ward_finish(turn + 1), MERGES, finish)
+        merged = last if merged is None else merged.unionByName(last)
+    return None if merged is None else cut(merged)
+
+
+def _joined_parts(parts: DataFrame, new: DataFrame, dim: int, turn: int) -> DataFrame:
+    into = new.select(F.col("right").alias("label"), F.col("left").alias("into"))
+    named = parts.join(into, "label", "left").groupBy(F.coalesce("into", "label").alias("label")).agg(
+        F.sum("n").alias("n"),
+        F.array(*[F.sum(F.col("ls")[i]) for i in range(dim)]).alias("ls"),
+        F.max("made").alias("made"),
+        F.count(F.lit(1)).alias("k"),
+    )
+    made = F.when(F.col("k") > 1, F.lit(turn).cast("long")).otherwise(F.col("made"))
+    return cut(named.select("label", "n", "ls", made.alias("made")))
+
+
 def _height(linkage: str):
     n = F.col("n_i") * F.col("n_j")
     if linkage == "average":
@@ -39,18 +161,21 @@ def _height(linkage: str):
     return F.col("s")
 
 
-def agglomerate(points: DataFrame | BlockIndex, linkage: str, pair_rows: int = PAIR_ROWS) -> DataFrame:
+def agglomerate(
+    points: DataFrame | BlockIndex, linkage: str, pair_rows: int = PAIR_ROWS, finish: int = FINISH_CLUSTERS
+) -> DataFrame:
     """``(step, left, right, left_step, right_step, height, size)``, n - 1 rows.
 
     ``left`` and ``right`` are the smallest ids of the parts, ``*_step`` the merge that made
     them (0 for a leaf). For Ward the height is the growth of the summed squared error.
-    Copies of a location are one leaf.
+    Copies of a location are one leaf. ``pair_rows`` bounds complete and average linkage;
+    ``finish`` is the number of clusters from which Ward merges one pair at a time in one task.
     """
     check_linkage(linkage)
     if linkage == "single":
         return single_linkage(points)
     ix = knn_index(points, 8)
-    if ix.n > pair_rows:
+    if linkage != "ward" and ix.n > pair_rows:
         raise ValueError(f"{linkage} linkage needs all pairs; reduce {ix.n} locations to features first")
     dim = ix.dim
     parts = cut(
@@ -58,24 +183,23 @@ def agglomerate(points: DataFrame | BlockIndex, linkage: str, pair_rows: int = P
             F.col("pid").alias("label"),
             F.col("w").alias("n"),
             F.transform("features", lambda v: v * F.col("w")).alias("ls"),
-            F.lit(0).alias("made"),
+            F.lit(0).cast("long").alias("made"),
         )
     )
+    if linkage == "ward":
+        return _merge_steps(_merge_rounds(parts, dim, finish))
     leaves, _ = walk_pairs(ix, ix, F.lit(True))
     near = point_pairs(ix.points, ix.points, leaves, dim, float("inf"), ["pid", "w"], ["pid", "w"])
     near = near.filter(F.col("p_pid") < F.col("q_pid"))
     start = F.col("dist") * F.col("p_w") * F.col("q_w") if linkage == "average" else F.col("dist")
     pairs = cut(near.select(F.col("p_pid").alias("ci"), F.col("q_pid").alias("cj"), start.alias("s")))
-    fold = {"complete": F.max, "average": F.sum, "ward": F.max}[linkage]
+    fold = {"complete": F.max, "average": F.sum}[linkage]
     merged, turn = None, 0
     while not pairs.isEmpty():
         turn += 1
         a = parts.select(F.col("label").alias("ci"), F.col("n").alias("n_i"), F.col("ls").alias("ls_i"), F.col("made").alias("made_i"))
         b = parts.select(F.col("label").alias("cj"), F.col("n").alias("n_j"), F.col("ls").alias("ls_j"), F.col("made").alias("made_j"))
         full = pairs.join(a, "ci").join(b, "cj")
-        if linkage == "ward":
-            d2 = V.sqeuclidean(V.centre_of("ls_i", "n_i"), V.centre_of("ls_j", "n_j"), dim)
-            full = full.withColumn("s", F.col("n_i") * F.col("n_j") / (F.col("n_i") + F.col("n_j")) * d2)
         full = full.withColumn("height", _height(linkage))
         both = full.select(F.col("ci").alias("id"), "height", "ci", "cj").unionByName(
             full.select(F.col("cj").alias("id"), "height", "ci", "cj")
@@ -100,15 +224,7 @@ def agglomerate(points: DataFrame | BlockIndex, linkage: str, pair_rows: int = P
         )
         merged = new if merged is None else cut(merged.unionByName(new))
         into = new.select(F.col("right").alias("label"), F.col("left").alias("into"))
-        moved = parts.join(into, "label", "left")
-        parts = cut(
-            moved.groupBy(F.coalesce("into", "label").alias("label")).agg(
-                F.sum("n").alias("n"),
-                F.array(*[F.sum(F.col("ls")[i]) for i in range(dim)]).alias("ls"),
-                F.max("made").alias("made"),
-                F.count(F.lit(1)).alias("k"),
-            ).select("label", "n", "ls", F.when(F.col("k") > 1, F.lit(turn)).otherwise(F.col("made")).alias("made"))
-        )
+        parts = _joined_parts(parts, new, dim, turn)
         ia = into.select(F.col("label").alias("ci"), F.col("into").alias("ti"))
         ib = into.select(F.col("label").alias("cj"), F.col("into").alias("tj"))
         named = pairs.join(ia, "ci", "left").join(ib, "cj", "left").select(
@@ -119,6 +235,11 @@ def agglomerate(points: DataFrame | BlockIndex, linkage: str, pair_rows: int = P
             .groupBy(F.least("x", "y").alias("ci"), F.greatest("x", "y").alias("cj"))
             .agg(fold("s").alias("s"))
         )
+    return _merge_steps(merged)
+
+
+def _merge_steps(merged: DataFrame | None) -> DataFrame:
+    """Merges in order of height with the steps that made their parts."""
     if merged is None:
         raise ValueError("one location has nothing to merge")
     steps, _, _ = numbered(merged, F.col("height"), F.col("turn"), F.col("left"), name="pos")

@@ -99,6 +99,25 @@ def test_agglomeration_against_greedy(vec, linkage):
     assert rows[-1]["size"] == 18
 
 
+def test_ward_rounds_over_blocks(vec):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 1, (50, 2)), rng.normal(6, 0.2, (35, 2)), [[40.0, 40.0]]])
+    x = np.concatenate([x, x[[3, 3, 60]]])  # copies of a place are one leaf
+    tree = lambda **how: agglomerative.agglomerate(vec(x.tolist()), "ward", **how).orderBy("step").collect()
+    rounds, last = tree(finish=20), tree()
+    assert [tuple(r)[:5] + (r["size"],) for r in rounds] == [tuple(r)[:5] + (r["size"],) for r in last]
+    heights = greedy_heights(x, "ward")
+    assert heights[:3] == [0, 0, 0] and np.allclose([r["height"] for r in rounds], heights[3:])
+    assert np.allclose([r["height"] for r in last], heights[3:]) and rounds[-1]["size"] == len(x)
+
+
+def test_ward_ties_go_to_smaller_ids(vec):
+    rows = agglomerative.agglomerate(vec([(0,), (1,), (2,), (3,), (10,)]), "ward").orderBy("step").collect()
+    assert [(r["left"], r["right"], r["left_step"], r["right_step"]) for r in rows] == [(0, 1, 0, 0), (2, 3, 0, 0), (0, 2, 1, 2), (0, 4, 3, 0)]
+    rounds = agglomerative.agglomerate(vec([(0,), (1,), (2,), (3,), (10,)]), "ward", finish=1).orderBy("step").collect()
+    assert rounds == rows
+
+
 def test_components_of_mutual_graph(vec):
     p = vec([(1, 1), (6, 5), (6, 6), (0, 0), (1, 2), (2, 1), (5, 5), (7, 6)])
     comps = connected_components(p, neighbours.knn_graph(p, 3, mutual=True)).collect()
