@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..sources.points import dim_of, with_dim
 from .blocks import FANOUT_BITS, SLACK, _side, block_index, point_pairs, spread_over
+from .neighbours import PairsWithin
 
 MAX_VALUES = 50_000  # centre coordinates that may travel inside the plan
 
@@ -141,18 +142,23 @@ def best_run(costs: DataFrame) -> DataFrame:
     return costs.agg(F.min(F.struct("cost", "run")).alias("b")).select("b.run", "b.cost")
 
 
-def closest_pair(pairs: DataFrame) -> DataFrame:
-    """The row ``(src, dst, dist)`` with the least distance."""
+def closest_pair(pairs: DataFrame | PairsWithin) -> DataFrame:
+    """The row ``(src, dst, dist)`` with the least distance, ties to the smaller ids."""
+    if isinstance(pairs, PairsWithin):
+        near = pairs.nearest()
+        if near is None:
+            return closest_pair(pairs.listed())
+        # the smallest id in a pair at the least distance has its smallest partner there as its nearest
+        pairs = near.select(F.least("id", "nearest").alias("src"), F.greatest("id", "nearest").alias("dst"), "dist")
     return pairs.agg(F.min(F.struct("dist", "src", "dst")).alias("b")).select("b.src", "b.dst", "b.dist")
 
 
-def nearest_other(pairs: DataFrame) -> DataFrame:
+def nearest_other(pairs: DataFrame | PairsWithin) -> DataFrame:
     """For each end of ``(src, dst, dist)`` its nearest partner: ``(id, nearest, dist)``."""
-    both = pairs.select("src", "dst", "dist").unionByName(
-        pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")
-    )
-    return (
-        both.groupBy(F.col("src").alias("id"))
-        .agg(F.min(F.struct("dist", "dst")).alias("b"))
-        .select("id", F.col("b.dst").alias("nearest"), F.col("b.dist").alias("dist"))
-    )
+    if isinstance(pairs, PairsWithin):
+        near = pairs.nearest()
+        return nearest_other(pairs.listed()) if near is None else near
+    end = lambda a, b: F.struct(F.col(a).alias("id"), F.col(b).alias("nearest"))
+    ends = F.explode(F.array(end("src", "dst"), end("dst", "src")))
+    both = pairs.select(ends.alias("e"), "dist").select("e.id", "e.nearest", "dist")
+    return both.groupBy("id").agg(F.min(F.struct("dist", "nearest")).alias("b")).select("id", "b.nearest", "b.dist")
