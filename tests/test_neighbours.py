@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flockpoint.operators import assign, blocks, neighbours
+from flockpoint.operators import assign, blocks, cells, neighbours
 from flockpoint.plans.dbscan import dbscan
 from flockpoint.session import attach, split_join
 from flockpoint.sources import points as S
@@ -127,3 +127,14 @@ def test_labels_roundtrip(spark, tmp_path):
     S.write_labels(S.rebuild_labels(labels), str(tmp_path / "labels"))
     back = spark.read.parquet(str(tmp_path / "labels")).orderBy("id").collect()
     assert [r["label"] for r in back] == [1, 2, 1, -1]
+
+
+def test_sums_of_near_points_are_those_of_the_pairs(vec):
+    rng = np.random.default_rng(5)
+    p = vec(rng.uniform(0, 1, (300, 2)))
+    origin = cells.grid_origin(p)
+    kept = cells.retained_cells(cells.cell_stats(p, 0.05), 4, 0.05)
+    pairs = cells.near_points(p, p, kept, 0.05, origin).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+    sums = cells.near_points(p, p, kept, 0.05, origin, {"n": F.lit(1), "ids": F.col("id")})
+    assert sorted(map(tuple, sums.collect())) == sorted(map(tuple, pairs.collect()))
+    assert "features" not in sums.columns and sums.count() <= 300
