@@ -288,8 +288,13 @@ def merge_representatives(
     return cut(ix.spread(cut(named))), clusters
 
 
-def cure(points: DataFrame, k: int, c: int = 4, alpha: float = 0.1, group: int = GROUP):
-    """``(labels, reps)``: ``(id, label)`` from 0 by smallest member, and ``(label, rep)``."""
+def cure(points: DataFrame, k: int, c: int = 4, alpha: float = 0.1, group: int = GROUP, part_rows: int | None = None):
+    """``(labels, reps)``: ``(id, label)`` from 0 by smallest member, and ``(label, rep)``.
+
+    ``part_rows`` is the former name of ``group``; as before it counts as ``8 k`` at least.
+    """
+    if part_rows is not None:
+        group = max(part_rows, 8 * k)
     members, clusters = merge_representatives(points, k, c, alpha, group)
     order, _, _ = numbered(clusters, F.col("cid"), name="label")
     named = order.withColumn("label", F.col("label").cast("int"))
