@@ -71,8 +71,9 @@ def test_pair_search_by_location_agrees_with_rows(vec, monkeypatch):
         got = {}
         once = neighbours.row_pairs(points, 0.25).collect()
         assert sorted((r["src"], r["dst"]) for r in once) == sorted((a, b) for a, b, _ in near)
-        for r in neighbours.sorted_neighbours(points, 0.25).orderBy("src", "dist", "dst").collect():
+        for r in neighbours.sorted_neighbours(points, 0.25).orderBy("src", "rank").collect():
             got.setdefault(r["src"], []).append((r["dst"], round(r["dist"], 9)))
+            assert r["rank"] == len(got[r["src"]])
         assert got == lists
         kept = neighbours.pair_distances(points, 0.25, listed=False)
         nearest = {a: min((d, b) for x, b, d in near if x == a and b != a)[1] for a in lists if any(b != a for b, _ in lists[a])}
