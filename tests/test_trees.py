@@ -99,6 +99,19 @@ def test_agglomeration_against_greedy(vec, linkage):
     assert rows[-1]["size"] == 18
 
 
+@pytest.mark.parametrize("linkage", ["complete", "average"])
+def test_linkage_beyond_the_pair_table(vec, monkeypatch, linkage):
+    monkeypatch.setattr(agglomerative, "CHUNK_ROWS", 7)
+    rng = np.random.default_rng(14)
+    x = np.concatenate([rng.normal(0, 1, (40, 2)), rng.normal(6, 0.2, (25, 2)), [[40.0, 40.0]]])
+    x = np.concatenate([x, x[[3, 3, 50]]])  # copies of a place are one leaf
+    tree = lambda **how: agglomerative.agglomerate(vec(x.tolist()), linkage, **how).orderBy("step").collect()
+    whole, rounds = tree(), tree(pair_rows=10, finish=30)
+    bare = lambda rows: [tuple(r)[:5] + (r["size"],) for r in rows]
+    assert bare(rounds) == bare(whole)
+    assert np.allclose([r["height"] for r in rounds], greedy_heights(x, linkage)[3:])
+
+
 def test_ward_rounds_over_blocks(vec):
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(0, 1, (50, 2)), rng.normal(6, 0.2, (35, 2)), [[40.0, 40.0]]])
