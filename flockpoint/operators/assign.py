@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from .blocks import FANOUT_BITS, SLACK, _side, block_index, point_pairs, spread_
 from .neighbours import PairsWithin
 
 MAX_VALUES = 50_000  # centre coordinates that may travel inside the plan
+FEW = 32  # centres that are compared by generated code; more are compared as arrays
+TABLE = 1 << 20  # distances that a task holds at a time
 
 
 def _literal_centres(rows, dim: int) -> Column:
@@ -23,6 +27,35 @@ def _literal_centres(rows, dim: int) -> Column:
     return F.from_json(F.lit(text), "array<struct<c: bigint, f: array<double>>>")
 
 
+def _nearest_centres(rows, dim: int, square: bool, k: int):
+    """The ``k`` nearest of checked-small centres for rows ``(id, features)``, as ``id, rank, center, dist``; made here to travel by value."""
+    rows = sorted((int(r["center"]), [float(v) for v in r["features"]]) for r in rows)
+    ids = np.array([c for c, _ in rows])
+    centres = np.array([f for _, f in rows])
+    k = min(k, len(ids))
+
+    def run(batches):
+        step = max(TABLE // len(ids), 1)
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                x = batch.column("features").flatten().to_numpy().reshape(-1, dim)
+                d = np.zeros((len(x), len(ids)))
+                for i in range(dim):
+                    d += np.square(x[:, None, i] - centres[None, :, i])
+                d = d if square else np.sqrt(d)
+                # centres stand in order of their ids, so the first of equals is the smallest
+                best = d.argmin(axis=1)[:, None] if k == 1 else d.argsort(axis=1, kind="stable")[:, :k]
+                owner = np.repeat(np.arange(len(x)), k)
+                ranks = np.tile(np.arange(1, k + 1, dtype=np.int32), len(x))
+                dist = np.take_along_axis(d, best, axis=1).ravel()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(pa.array(owner)), pa.array(ranks), pa.array(ids[best.ravel()]), pa.array(dist)], ["id", "rank", "center", "dist"]
+                )
+
+    return run
+
+
 def assign_nearest(
     points: DataFrame, centers: DataFrame, metric: str | object = "euclidean", k: int = 1, max_values: int = MAX_VALUES
 ) -> DataFrame:
@@ -39,6 +72,10 @@ def assign_nearest(
         raise ValueError("no centres given")
     if len(rows) > limit:
         return _assign_by_blocks(points, centers, metric, k, dim)
+    if len(rows) > FEW and metric in ("euclidean", "sqeuclidean"):
+        kind = points.schema["id"].dataType.simpleString()
+        found = _nearest_centres(rows, dim, metric == "sqeuclidean", k)
+        return points.select("id", "features").mapInArrow(found, f"id {kind}, rank int, center bigint, dist double")
     dist = V.metric(metric, dim)
     ranked = F.transform(
         _literal_centres(rows, dim), lambda c: F.struct(dist(F.col("features"), c["f"]).alias("d"), c["c"].alias("c"))
