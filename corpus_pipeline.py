@@ -15,6 +15,7 @@ from flockpoint.llm.linededup import drop_boilerplate
 from flockpoint.llm.mixing import mixed_documents, plausible_words
 from flockpoint.llm.neardup import near_duplicates
 from flockpoint.llm.packing import pack_documents
+from flockpoint.llm.textbytes import small_batches
 from flockpoint.session import cut
 
 ORACLE_SQL = None
@@ -57,6 +58,7 @@ STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+    with small_batches(spark):
+        for _, stage in STAGES:
+            docs = cut(stage(spark, docs, sf_dir))
     return docs
