@@ -25,7 +25,7 @@ from ..operators.neighbours import index_of, knn_index, location_knn, row_pairs
 from ..session import attach, cut, numbered, spread_over
 from ..sources.points import dim_of, sample_n, with_dim
 
-GROUP = 3_000  # clusters of a region that one task merges
+GROUP = 20_000  # clusters of a region that one task merges
 LEVELS = 40  # sizes of cells that boxes are put into
 
 
@@ -66,57 +66,90 @@ def _region_merger(c: int, alpha: float, below: float):
         return pool + alpha * (mid - pool)
 
     def solve(rows: pd.DataFrame, most: float):
-        n = len(rows)
+        n = m = len(rows)
         reps = [np.array([list(r) for r in v], dtype=float) for v in rows["reps"]]
         size = rows["n"].to_numpy().copy()
         sums = [np.array(v, dtype=float) for v in rows["ls"]]
+        dim = reps[0].shape[1]
         # unused places are filled with the first representative again
         wide = max(c, max(map(len, reps)))
-        table = np.stack([np.vstack([r, np.repeat(r[:1], wide - len(r), axis=0)]) for r in reps])
+        table = np.empty((dim, wide, n))
 
-        def gaps(pool):
-            """Distance of every cluster from the representatives ``pool``."""
-            best = np.full(n, np.inf)
+        def place(i: int, at: int):
+            table[:, : len(reps[i]), at] = reps[i].T
+            table[:, len(reps[i]) :, at] = reps[i][0][:, None]
+
+        def gaps(i: int, since: int):
+            """Distance of cluster ``i`` from the clusters at places ``since`` and later."""
+            best = None
+            pool = reps[i][:1] if (reps[i] == reps[i][0]).all() else reps[i]
             for p in pool:
-                best = np.minimum(best, ((table - p) ** 2).sum(-1).min(1))
+                if dim < 8:
+                    far = (table[0, :, since:m] - p[0]) ** 2
+                    for a in range(1, dim):
+                        off = table[a, :, since:m] - p[a]
+                        off *= off
+                        far += off
+                else:
+                    far = ((np.moveaxis(table[:, :, since:m], 0, -1) - p) ** 2).sum(-1)
+                far = far.min(0)
+                best = far if best is None else np.minimum(best, far, out=best)
             return np.sqrt(best)
 
-        dist = np.empty((n, n))
+        # a pair stands at its smaller place; only the nearest later cluster of each is kept
+        near, least = np.zeros(n, np.int64), np.full(n, np.inf)
+
+        def search(at: int):
+            least[at] = np.inf
+            if at + 1 < m:
+                d = gaps(name[at], at + 1)
+                best = int(np.argmin(d))
+                near[at], least[at] = at + 1 + best, d[best]
+
+        name = np.arange(n)  # the cluster at each place
+        for i in range(n):
+            place(i, i)
         for i in range(n):
-            dist[i] = gaps(reps[i])
-        dist = np.minimum(dist, dist.T)
-        dist[np.tril_indices(n)] = np.inf  # a pair stands at its smaller row
-        near = np.argmin(dist, axis=1)
-        least = dist[np.arange(n), near]
+            search(i)
         home, alive = np.arange(n), np.ones(n, bool)
         told = np.full((n, 3), np.nan)
-        turn, peak = 0, 0.0
+        turn, peak, left = 0, 0.0, n
         while turn < most:
-            u = int(np.argmin(least))
-            gap = least[u]
+            at = int(np.argmin(least[:m]))
+            gap = least[at]
             if not gap < below:
                 break
-            v = int(near[u])
+            gone = int(near[at])
+            u, v = int(name[at]), int(name[gone])
             turn += 1
             peak = max(peak, gap)
             told[v] = turn, gap, peak
             size[u] += size[v]
             sums[u] = sums[u] + sums[v]
             reps[u] = spread(np.vstack([reps[u], reps[v]]), sums[u] / size[u])
-            table[u] = np.vstack([reps[u], np.repeat(reps[u][:1], wide - len(reps[u]), axis=0)])
-            home[home == v] = u
-            alive[v] = False
-            dist[v, :] = dist[:, v] = np.inf
-            least[v] = np.inf
-            d = np.where(alive, gaps(reps[u]), np.inf)
-            dist[u, u + 1 :] = d[u + 1 :]
-            dist[:u, u] = d[:u]
-            stale = np.flatnonzero(alive & ((near == u) | (near == v)))
-            closer = np.flatnonzero((d[:u] < least[:u]) | ((d[:u] == least[:u]) & (u < near[:u])))
-            near[closer], least[closer] = u, d[closer]
-            for w in {u, *stale.tolist()}:
-                near[w] = int(np.argmin(dist[w]))
-                least[w] = dist[w, near[w]]
+            reps[v] = None
+            home[v] = u
+            place(u, at)
+            table[:, :, gone] = np.inf
+            alive[gone] = False
+            least[gone] = np.inf
+            left -= 1
+            stale = np.flatnonzero(alive[:m] & ((near[:m] == at) | (near[:m] == gone)))
+            d = gaps(u, 0)
+            before, known = d[:at], least[:at]
+            closer = np.flatnonzero((before < known) | ((before == known) & (at < near[:at])))
+            sure = set(np.flatnonzero(before < known).tolist())
+            near[closer], least[closer] = at, d[closer]
+            for w in {at, *stale.tolist()} - sure:
+                search(w)
+            if left < m / 2:  # close up the places of absorbed clusters
+                keep = np.flatnonzero(alive[:m])
+                moved = np.zeros(m, np.int64)
+                moved[keep] = np.arange(left)
+                table = np.ascontiguousarray(table[:, :, keep])
+                name, least, near, alive, m = name[keep], least[keep], moved[near[keep]], alive[keep], left
+        for v in np.argsort(-np.nan_to_num(told[:, 0])).tolist():  # whoever took a cluster in leaves later, if at all
+            home[v] = home[home[v]]
         return home, size, sums, reps, told
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

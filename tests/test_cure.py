@@ -1,5 +1,9 @@
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 
+from flockpoint.plans import cure as plan
 from flockpoint.plans.cure import _mutual, cure
 
 
@@ -74,3 +78,22 @@ def test_mutual_pairs(spark):
     near = spark.createDataFrame([(1, 2, 1.0), (2, 3, 0.5), (3, 4, 0.7), (5, 6, 0.5), (6, 7, 0.5)], "src long, dst long, dist double")
     got = sorted((r["region"], r["cid"]) for r in _mutual(near).collect())
     assert got == [(2, 2), (2, 3), (5, 5), (5, 6)]
+
+
+def test_a_large_region_is_merged_without_a_matrix(vec):
+    n = 4_000
+    x = np.random.default_rng(8).uniform(0, 1, (n, 2))
+    rows = pd.DataFrame({"region": 0, "cid": np.arange(n), "n": 1, "ls": list(x), "reps": [[v] for v in x], "most": float(n - 3)})
+    tracemalloc.start()
+    out = plan._region_merger(4, 0.2, np.inf)((), rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out["cid"].nunique() == 3 and out["turn"].notna().sum() == n - 3
+    assert out.loc[out["turn"].isna(), "n"].sum() == n
+    assert peak < n * n * 8 / 2
+
+
+def test_a_few_thousand_places_need_no_phases(vec, monkeypatch):
+    monkeypatch.setattr(plan, "_near_clusters", None)
+    x = np.random.default_rng(9).uniform(0, 1, (3_200, 2))
+    assert cure(vec(x.tolist()), 3)[0].select("label").distinct().count() == 3
