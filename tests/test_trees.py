@@ -91,6 +91,19 @@ def test_merge_table_of_both_halves(spark, shape, chunk):
     assert [tuple(r) for r in got] == plain_merges(n, edges)
 
 
+def test_many_merges_need_no_split(spark, monkeypatch):
+    monkeypatch.setattr(forest, "connected_components", None)
+    n = 30_000
+    tree = spark.range(1, n).select((F.col("id") - 1).alias("src"), F.col("id").alias("dst"), F.col("id").cast("double").alias("w"))
+    verts = spark.range(n).select("id", F.lit(1).cast("bigint").alias("w"))
+    got = forest.merge_table(verts, tree)
+    want = spark.range(1, n).select(
+        F.col("id").alias("step"), F.lit(0).cast("bigint").alias("left"), F.col("id").alias("right"), (F.col("id") - 1).alias("left_step"),
+        F.lit(0).cast("bigint").alias("right_step"), F.col("id").cast("double").alias("height"), (F.col("id") + 1).alias("size"),
+    )
+    assert got.count() == n - 1 and got.exceptAll(want).isEmpty()
+
+
 @pytest.mark.parametrize("linkage", ["average", "ward"])
 def test_agglomeration_against_greedy(vec, linkage):
     x = np.random.default_rng(9).uniform(0, 1, (18, 2))
