@@ -202,3 +202,20 @@ def test_stable_clusters_of_two_blobs(vec):
     rows = labels.orderBy("id").toPandas()
     assert rows.label[:25].mode()[0] != rows.label[25:50].mode()[0] and rows.label[50] == -1
     assert rows.outlier_score.between(0, 1).all() and tree.filter("chosen").count() == 2
+
+
+def test_line_forest_is_the_gaps(vec, monkeypatch):
+    """On a line the box tree is not walked: the steps between neighbours are the forest."""
+    monkeypatch.setattr(forest, "_shorter_edges", None)
+    x = np.unique(np.random.default_rng(11).integers(0, 100_000, 500))
+    ix = neighbours.knn_index(vec([(v,) for v in np.random.default_rng(12).permutation(x)]), 4)
+    zero = ix.points.select("pid", F.lit(0.0).alias("core_dist"))
+    got = [r["w"] for r in forest.reach_forest(ix, zero, neighbours.location_knn(ix, 4)).orderBy("w").collect()]
+    assert got == sorted(np.diff(x).astype(float))
+    few = forest.reach_forest(ix, zero, neighbours.location_knn(ix, 4), 100.0)
+    assert few.count() == (np.diff(x) <= 100).sum()
+
+
+def test_forest_from_many_small_ranges(vec, monkeypatch):
+    monkeypatch.setattr(forest, "CONTRACT_PLACES", 20)
+    test_forest_against_prim(vec)
