@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.blocks import BlockIndex, point_pairs, walk_pairs, with_points, within
-from ..operators.components import compress, connected_components
+from ..operators.components import compress, connected_components, in_one_task
 from ..operators.forest import merge_table, reach_forest
 from ..operators.neighbours import knn_index, location_core_distance, location_knn
 from ..session import attach, cut, numbered
@@ -206,8 +207,57 @@ def stable_clusters(points: DataFrame | BlockIndex, min_cluster_size: int = 5, m
             ).alias("stability"),
         )
     )
-    chosen = _choose(tree)
-    return _stable_labels(ix, tree, chosen, rows)
+    return _stable_labels(ix, tree, *_picked(tree), rows)
+
+
+def _fold_tree(cluster: np.ndarray, parent: np.ndarray, stability: np.ndarray, death: np.ndarray):
+    """Per cluster its highest chosen ancestor (itself included), whether there is one, and the largest density below it.
+
+    A root is its own parent.
+    """
+    ids, at = np.unique(cluster, return_index=True)
+    up = np.minimum(np.searchsorted(ids, parent[at]), len(ids) - 1)
+    up = np.where((ids[up] == parent[at]) & (parent[at] != ids), up, -1).tolist()
+    rooted = (parent[at] == ids).tolist()
+    stability, deep = stability[at].tolist(), death[at].tolist()
+    kids, waiting = [0.0] * len(ids), [0] * len(ids)
+    for p in up:
+        if p >= 0:
+            waiting[p] += 1
+    inner = [n > 0 for n in waiting]
+    order = [c for c, n in enumerate(waiting) if not n]
+    chosen = [False] * len(ids)
+    for c in order:  # leaves first; grows while it is read
+        # the root of a tree is never a cluster of its own when it splits
+        chosen[c] = not inner[c] or (stability[c] >= kids[c] and not rooted[c])
+        p = up[c]
+        if p >= 0:
+            kids[p] += stability[c] if chosen[c] else kids[c]
+            deep[p] = max(deep[p], deep[c])
+            waiting[p] -= 1
+            if not waiting[p]:
+                order.append(p)
+    top = [-1] * len(ids)
+    for c in reversed(order):
+        p = up[c]
+        top[c] = top[p] if p >= 0 and top[p] >= 0 else c if chosen[c] else -1
+    top = np.array(top, np.int64)
+    return ids, ids[top], (top >= 0).astype(np.int64), np.array(deep)
+
+
+def _picked(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(cluster, top)`` of the clusters under a chosen one, and ``(cluster, deep)``: the largest density below each.
+
+    One task folds a tree of a checked number of clusters; larger ones take a round a level.
+    """
+    flat = cut(tree.select("cluster", F.coalesce("parent", "cluster").alias("parent"), "stability", "death"))
+    got = None
+    if flat.count() == flat.agg(F.count_distinct("cluster")).first()[0]:
+        got = in_one_task(flat, _fold_tree, "cluster bigint, top bigint, has bigint, deep double")
+    if got is None:
+        return _tops(tree, _choose(tree)), _deepest(tree)
+    got = cut(got)
+    return got.filter("has = 1").select("cluster", "top"), got.select("cluster", "deep")
 
 
 def _choose(tree: DataFrame) -> DataFrame:
@@ -233,7 +283,7 @@ def _choose(tree: DataFrame) -> DataFrame:
         done = ready if done is None else cut(done.unionByName(ready))
 
 
-def _stable_labels(ix: BlockIndex, tree: DataFrame, chosen: DataFrame, rows: DataFrame):
+def _tops(tree: DataFrame, chosen: DataFrame) -> DataFrame:
     up = tree.select("cluster", "parent").join(chosen.select("cluster", "self"), "cluster")
     # a cluster below another chosen one belongs to the upper one: follow parents upward and
     # keep the highest chosen ancestor, by dropping the links above chosen clusters whose
@@ -248,11 +298,11 @@ def _stable_labels(ix: BlockIndex, tree: DataFrame, chosen: DataFrame, rows: Dat
         )
         if path.filter(F.col("at").isNotNull()).isEmpty():
             break
-    picked = path.filter(F.col("top").isNotNull()).select(F.col("id").alias("cluster"), "top")
-    members = rows.join(picked, "cluster", "left")
-    firsts = members.filter(F.col("top").isNotNull()).groupBy("top").agg(F.min("pid").alias("first"), F.max("lam").alias("peak"))
-    numbers, _, _ = numbered(firsts, F.col("first"), name="label")
-    # the largest density found anywhere below each condensed cluster
+    return path.filter(F.col("top").isNotNull()).select(F.col("id").alias("cluster"), "top")
+
+
+def _deepest(tree: DataFrame) -> DataFrame:
+    """The largest density found anywhere below each condensed cluster."""
     below = tree.select("cluster", "parent", "death")
     deepest = cut(below.select("cluster", "death"))
     link = cut(below.filter(F.col("parent").isNotNull()).select("cluster", "parent"))
@@ -267,7 +317,13 @@ def _stable_labels(ix: BlockIndex, tree: DataFrame, chosen: DataFrame, rows: Dat
         if reach.isEmpty():
             break
         total = total.unionByName(reach.select("id", "anc", "death"))
-    deepest = total.groupBy(F.col("anc").alias("cluster")).agg(F.max("death").alias("deep"))
+    return total.groupBy(F.col("anc").alias("cluster")).agg(F.max("death").alias("deep"))
+
+
+def _stable_labels(ix: BlockIndex, tree: DataFrame, picked: DataFrame, deepest: DataFrame, rows: DataFrame):
+    members = rows.join(picked, "cluster", "left")
+    firsts = members.filter(F.col("top").isNotNull()).groupBy("top").agg(F.min("pid").alias("first"), F.max("lam").alias("peak"))
+    numbers, _, _ = numbered(firsts, F.col("first"), name="label")
     labelled = (
         members.join(numbers.select("top", F.col("label").cast("int").alias("label"), "peak"), "top", "left")
         .join(deepest, "cluster", "left")

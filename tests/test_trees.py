@@ -219,3 +219,14 @@ def test_line_forest_is_the_gaps(vec, monkeypatch):
 def test_forest_from_many_small_ranges(vec, monkeypatch):
     monkeypatch.setattr(forest, "CONTRACT_PLACES", 20)
     test_forest_against_prim(vec)
+
+
+def test_condensed_tree_in_one_task_or_by_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(10 * i, None if i in (0, 1) else 10 * int(rng.integers(0, i)), float(rng.integers(0, 50)), float(rng.integers(0, 90))) for i in range(80)]
+    tree = spark.createDataFrame(rows, "cluster bigint, parent bigint, stability double, death double")
+    with monkeypatch.context() as m:
+        m.setattr(reachability, "_choose", None)  # not by a round a level
+        top, deep = (sorted(map(tuple, t.collect())) for t in reachability._picked(tree))
+    assert top == sorted(map(tuple, reachability._tops(tree, reachability._choose(tree)).collect()))
+    assert deep == sorted(map(tuple, reachability._deepest(tree).collect()))
