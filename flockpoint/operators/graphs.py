@@ -13,7 +13,8 @@ def label_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Edges with the labels of both ends, smaller label first: ``(src, dst, weight, ci, cj)``."""
     a = labels.select(F.col("id").alias("src"), F.col("label").alias("__a"))
     b = labels.select(F.col("id").alias("dst"), F.col("label").alias("__b"))
-    return edges.join(a, "src").join(b, "dst").select(
+    # one row per vertex: too much to send through the driver in every round
+    return edges.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").select(
         "src", "dst", "weight", F.least("__a", "__b").alias("ci"), F.greatest("__a", "__b").alias("cj")
     )
 

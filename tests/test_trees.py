@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flockpoint.operators import forest, neighbours
-from flockpoint.operators.bisection import partition_graph
+from flockpoint.operators import forest, graphs, neighbours
+from flockpoint.operators.bisection import bisect, partition_graph
 from flockpoint.operators.components import connected_components
 from flockpoint.plans import agglomerative, chameleon, cure, medoids, reachability
 
@@ -230,3 +230,30 @@ def test_condensed_tree_in_one_task_or_by_rounds(spark, monkeypatch):
         top, deep = (sorted(map(tuple, t.collect())) for t in reachability._picked(tree))
     assert top == sorted(map(tuple, reachability._tops(tree, reachability._choose(tree)).collect()))
     assert deep == sorted(map(tuple, reachability._deepest(tree).collect()))
+
+
+def test_vertices_are_not_sent_through_the_driver(spark):
+    """Tables of one row per vertex meet the edges by shuffles, whatever their size."""
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0)], "src long, dst long, weight double")
+    labels = spark.createDataFrame([(i, 0) for i in range(3)], "id long, label int")
+    for df in (graphs.label_edges(edges, labels), graphs.edge_stats(edges, labels)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bisection_against_the_plain_walk(spark):
+    rng = np.random.default_rng(9)
+    n = 60
+    ends = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, n, (150, 2)).tolist() if a != b})
+    weight, guess = rng.uniform(0.5, 2, len(ends)), rng.uniform(-1, 1, n)
+    edges = spark.createDataFrame([(a, b, float(w)) for (a, b), w in zip(ends, weight)], "src long, dst long, weight double")
+    start = spark.createDataFrame([(i, float(x)) for i, x in enumerate(guess)], "id long, x double")
+    w = np.zeros((n, n))
+    for (a, b), v in zip(ends, weight):
+        w[a, b] = w[b, a] = v
+    g = w.sum(1)
+    move = np.where(g[:, None] > 0, w / np.maximum(g[:, None], 1e-9) / 2, 0) + np.diag(np.where(g > 0, 0.5, 1.0))
+    x = guess - (g * guess).sum() / g.sum()
+    for _ in range(12):
+        x = move @ x
+    got = bisect(spark.range(n).withColumn("label", F.lit(0)), edges, start).collect()
+    assert {r["id"]: r["side"] for r in got} == {i: int(v >= np.sort(x)[n // 2 - 1]) for i, v in enumerate(x)}
