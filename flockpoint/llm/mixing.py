@@ -30,8 +30,8 @@ def uniform(*cols: Column) -> Column:
 
 
 def plausible_words() -> Column:
-    """Quality weight over ``text`` and ``size``: half for texts whose characters per word are unlike prose."""
-    return F.when((F.length("text") / F.col("size")).between(3, 11), 1.0).otherwise(0.5)
+    """Quality weight over ``text`` and ``size``: half for texts whose characters per word are unlike prose, or without words."""
+    return F.when(F.try_divide(F.length("text"), F.col("size")).between(3, 11), 1.0).otherwise(0.5)
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], percent: int, most: float) -> DataFrame:

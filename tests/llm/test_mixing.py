@@ -6,7 +6,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from flockpoint.llm.mixing import mix_sources, mixed_documents
+from flockpoint.llm.mixing import mix_sources, mixed_documents, plausible_words
 
 
 def plain_targets(sizes, weights, percent, most):
@@ -73,3 +73,11 @@ def test_edges(spark, edge, empty):
     mixed = mixed_documents(edge)
     assert mixed.columns == edge.columns and mixed.count() > 0
     assert mix_sources(empty).count() == 0 and mixed_documents(empty).count() == 0
+
+
+def test_quality_of_texts_without_words(spark):
+    rows = [(1, "", "a"), (2, " \n", "a"), (3, None, "b"), (4, "some plain words here", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["size"], r["taken"]) for r in mix_sources(df, quality=plausible_words()).collect()}
+    assert got == {1: (0, 0), 2: (0, 0), 3: (0, 0), 4: (4, 6)}
+    assert {r["doc_id"] for r in mixed_documents(df, quality=plausible_words()).collect()} == {1, 2, 3, 4}
