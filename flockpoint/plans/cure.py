@@ -11,6 +11,8 @@ groups change speed only.
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
 
 import numpy as np
@@ -26,6 +28,9 @@ from ..session import attach, cut, numbered, spread_over
 from ..sources.points import dim_of, sample_n, with_dim
 
 GROUP = 20_000  # clusters of a region that one task merges
+FLAT_GROUP = 200_000  # the same in up to GRID_DIMS dimensions
+GRID_DIMS = 3
+DENSE = 3_000  # clusters that are compared with all others; more are first met through a grid
 LEVELS = 40  # sizes of cells that boxes are put into
 
 
@@ -48,9 +53,120 @@ def sample_size(n_rows: int, k: int, u_min: int | None = None, f: float = 0.3, d
 SCHEMA = "region bigint, old bigint, cid bigint, n bigint, ls array<double>, reps array<array<double>>, turn int, gap double, peak double"
 
 
-def _region_merger(c: int, alpha: float, below: float):
+def _side(dist: float, size: float) -> float:
+    """Width of a cell such that points closer than ``dist`` lie in neighbouring cells, however large (``size``) their coordinates are."""
+    return dist * (1 + 1e-9) + size * 1e-14
+
+
+def _close_pairs(at: np.ndarray, owner: np.ndarray, dist: float, most: int):
+    """``(u, v, d)``: owners ``u < v`` of points ``at`` closer than ``dist``, their least distance; None where over ``most`` pairs of points share cells."""
+    odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)[: at.shape[1]]
+    cell = np.floor((at - at.min(axis=0)) / _side(dist, np.abs(at).max())).astype(np.int64)
+    key = (cell.view(np.uint64) * odd).sum(axis=1, dtype=np.uint64)  # a step to the next cell adds the same to every key
+    order = np.argsort(key, kind="stable")
+    at, owner, key = at[order], owner[order], key[order]
+    found, met = [], 0
+    for off in itertools.product((0, 1, -1), repeat=at.shape[1]):
+        if off < (0,) * len(off):
+            continue  # the other cell meets this one
+        there = key + (np.array(off).view(np.uint64) * odd).sum(dtype=np.uint64)
+        lo, hi = np.searchsorted(key, there, "left"), np.searchsorted(key, there, "right")
+        if not any(off):
+            lo = np.arange(1, len(key) + 1)
+        n = hi - lo
+        met += int(n.sum())
+        if met > most:
+            return None
+        a = np.repeat(np.arange(len(key)), n)
+        found.append((a, np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + lo[a]))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    d = (at[a, 0] - at[b, 0]) ** 2
+    for i in range(1, at.shape[1]):
+        d += (at[a, i] - at[b, i]) ** 2
+    d = np.sqrt(d)
+    near = (d < dist) & (owner[a] != owner[b])
+    u, v, d = np.minimum(owner[a], owner[b])[near], np.maximum(owner[a], owner[b])[near], d[near]
+    order = np.lexsort((d, v, u))
+    u, v, d = u[order], v[order], d[order]
+    first = np.ones(len(u), bool)
+    first[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    return u[first], v[first], d[first]
+
+
+def _places(reps: list) -> tuple[np.ndarray, np.ndarray]:
+    names = [i for i, r in enumerate(reps) if r is not None]
+    return np.vstack([reps[i] for i in names]), np.repeat(names, [len(reps[i]) for i in names])
+
+
+def _next_distance(reps: list, dist: float, below: float):
+    """A distance beyond ``dist``, ``below`` at most, up to which a cluster has a few neighbours, and the pairs that are closer; None if there is none."""
+    at, owner = _places(reps)
+    wide = float((at.max(axis=0) - at.min(axis=0)).max())
+    step, top = max(dist * 1.4, 0.3 * wide * len(at) ** (-1 / at.shape[1])), math.inf
+    for _ in range(100):
+        step = min(step, below)
+        pairs = _close_pairs(at, owner, step, 64 * len(at)) if step > dist else None
+        if pairs is None or len(pairs[0]) > 8 * len(at):
+            step, top = (dist + step) / 2, step
+        elif len(pairs[0]) or step >= below:
+            return step, pairs
+        else:
+            step = min(step * 1.5, (step + top) / 2)
+    return None
+
+
+def _merged_in_cells(reps: list, dist: float, pairs, merge, go_on) -> None:
+    """Merge the closest pair closer than ``dist``, one after the other, until none is left: the order of the dense search.
+
+    ``merge(u, v, gap)`` puts ``v`` into ``u``, ``go_on()`` tells whether another merge is wanted. Representatives stand in a grid of cells as
+    wide as ``dist``, so a new cluster meets its surroundings only.
+    """
+    names = [i for i, r in enumerate(reps) if r is not None]
+    side, dim = _side(dist, max(np.abs(reps[i]).max() for i in names)), reps[names[0]].shape[1]
+    cells: dict[tuple, list] = {}
+    around = list(itertools.product((-1, 0, 1), repeat=dim))
+
+    def spots(i):
+        return [(tuple(k), tuple(x)) for k, x in zip(np.floor(reps[i] / side).astype(np.int64).tolist(), reps[i].tolist(), strict=True)]
+
+    for i in names:
+        for k, x in dict.fromkeys(spots(i)):
+            cells.setdefault(k, []).append((i, x))
+    age = dict.fromkeys(names, 0)
+    heap = [(d, u, v, 0, 0) for u, v, d in zip(*(x.tolist() for x in pairs), strict=True)]
+    heapq.heapify(heap)
+    while heap and go_on():
+        gap, u, v, a, b = heapq.heappop(heap)
+        if age.get(u) != a or age.get(v) != b:
+            continue
+        for i in (u, v):
+            for k in {k for k, _ in spots(i)}:
+                cells[k] = [x for x in cells[k] if x[0] != i]
+        del age[v]
+        merge(u, v, gap)
+        age[u] += 1
+        least: dict[int, float] = {}
+        fresh = list(dict.fromkeys(spots(u)))
+        for k, x in fresh:
+            for off in around:
+                for w, y in cells.get(tuple(map(int.__add__, k, off)), ()):
+                    far = 0.0
+                    for i in range(dim):
+                        far += (x[i] - y[i]) * (x[i] - y[i])
+                    if far < least.get(w, math.inf):
+                        least[w] = far
+        for w, far in least.items():
+            far = math.sqrt(far)
+            if far < dist:
+                heapq.heappush(heap, (far, u, w, age[u], age[w]) if u < w else (far, w, u, age[w], age[u]))
+        for k, x in fresh:
+            cells.setdefault(k, []).append((u, x))
+
+
+def _region_merger(c: int, alpha: float, below: float, dense: int = DENSE):
     """The function that merges the clusters of regions one by one; made here to travel by value.
 
+    Where more than ``dense`` clusters are left, in few dimensions, the closest pair is found through a grid.
     A cluster that was absorbed tells at which ``turn`` of its region, at what distance, and the largest distance up to then.
     """
 
@@ -66,14 +182,37 @@ def _region_merger(c: int, alpha: float, below: float):
         return pool + alpha * (mid - pool)
 
     def solve(rows: pd.DataFrame, most: float):
-        n = m = len(rows)
+        n = len(rows)
         reps = [np.array([list(r) for r in v], dtype=float) for v in rows["reps"]]
         size = rows["n"].to_numpy().copy()
         sums = [np.array(v, dtype=float) for v in rows["ls"]]
         dim = reps[0].shape[1]
+        home, told = np.arange(n), np.full((n, 3), np.nan)
+        turn, peak = 0, 0.0
+
+        def join(u: int, v: int, gap: float):
+            nonlocal turn, peak
+            turn += 1
+            peak = max(peak, gap)
+            told[v] = turn, gap, peak
+            size[u] += size[v]
+            sums[u] = sums[u] + sums[v]
+            reps[u] = spread(np.vstack([reps[u], reps[v]]), sums[u] / size[u])
+            reps[v] = None
+            home[v] = u
+
+        reached = 0.0
+        while dim <= GRID_DIMS and n - turn > dense and turn < most and reached < below:
+            further = _next_distance(reps, reached, below)
+            if further is None:
+                break
+            reached, pairs = further
+            _merged_in_cells(reps, reached, pairs, join, lambda: turn < most and n - turn > dense)
+        name = np.array([i for i in range(n) if reps[i] is not None])  # the cluster at each place
+        m = len(name)
         # unused places are filled with the first representative again
-        wide = max(c, max(map(len, reps)))
-        table = np.empty((dim, wide, n))
+        wide = max(c, max(len(reps[i]) for i in name))
+        table = np.empty((dim, wide, m))
 
         def place(i: int, at: int):
             table[:, : len(reps[i]), at] = reps[i].T
@@ -97,7 +236,7 @@ def _region_merger(c: int, alpha: float, below: float):
             return np.sqrt(best)
 
         # a pair stands at its smaller place; only the nearest later cluster of each is kept
-        near, least = np.zeros(n, np.int64), np.full(n, np.inf)
+        near, least = np.zeros(m, np.int64), np.full(m, np.inf)
 
         def search(at: int):
             least[at] = np.inf
@@ -106,14 +245,11 @@ def _region_merger(c: int, alpha: float, below: float):
                 best = int(np.argmin(d))
                 near[at], least[at] = at + 1 + best, d[best]
 
-        name = np.arange(n)  # the cluster at each place
-        for i in range(n):
-            place(i, i)
-        for i in range(n):
+        for at, i in enumerate(name.tolist()):
+            place(i, at)
+        for i in range(m):
             search(i)
-        home, alive = np.arange(n), np.ones(n, bool)
-        told = np.full((n, 3), np.nan)
-        turn, peak, left = 0, 0.0, n
+        alive, left = np.ones(m, bool), m
         while turn < most:
             at = int(np.argmin(least[:m]))
             gap = least[at]
@@ -121,14 +257,7 @@ def _region_merger(c: int, alpha: float, below: float):
                 break
             gone = int(near[at])
             u, v = int(name[at]), int(name[gone])
-            turn += 1
-            peak = max(peak, gap)
-            told[v] = turn, gap, peak
-            size[u] += size[v]
-            sums[u] = sums[u] + sums[v]
-            reps[u] = spread(np.vstack([reps[u], reps[v]]), sums[u] / size[u])
-            reps[v] = None
-            home[v] = u
+            join(u, v, gap)
             place(u, at)
             table[:, :, gone] = np.inf
             alive[gone] = False
@@ -250,7 +379,7 @@ def _mutual(near: DataFrame) -> DataFrame:
 
 
 def merge_representatives(
-    points: DataFrame, k: int, c: int = 4, alpha: float = 0.1, group: int = GROUP
+    points: DataFrame, k: int, c: int = 4, alpha: float = 0.1, group: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """``(members, clusters)``: ``(id, cid)`` and ``(cid, n, ls, reps)`` for ``k`` clusters, as by merging the closest pair each time.
 
@@ -259,11 +388,13 @@ def merge_representatives(
     toward the mean by ``alpha``. Copies of a location are one cluster from the start, so there are never more
     clusters than locations.
 
-    A region of more than ``group`` clusters below a distance makes the phase try a shorter one. Where no distance tells
-    clusters apart (more than ``group`` of them at one distance in a row, as on a lattice), mutually nearest pairs merge side by side.
+    ``group`` is ``FLAT_GROUP`` in up to ``GRID_DIMS`` dimensions, else ``GROUP``. A region of more than ``group`` clusters below a
+    distance makes the phase try a shorter one. Where no distance tells clusters apart (more than ``group`` of them at one
+    distance in a row, as on a lattice), mutually nearest pairs merge side by side.
     """
     ix = knn_index(points, 1)
     dim, count = ix.dim, ix.n
+    group = group or (FLAT_GROUP if dim <= GRID_DIMS else GROUP)
     copies = F.least("w", F.lit(c)).cast("int")
     clusters = cut(
         ix.points.select(
@@ -321,7 +452,7 @@ def merge_representatives(
     return cut(ix.spread(cut(named))), clusters
 
 
-def cure(points: DataFrame, k: int, c: int = 4, alpha: float = 0.1, group: int = GROUP, part_rows: int | None = None):
+def cure(points: DataFrame, k: int, c: int = 4, alpha: float = 0.1, group: int | None = None, part_rows: int | None = None):
     """``(labels, reps)``: ``(id, label)`` from 0 by smallest member, and ``(label, rep)``.
 
     ``part_rows`` is the former name of ``group``; as before it counts as ``8 k`` at least.
@@ -337,7 +468,7 @@ def cure(points: DataFrame, k: int, c: int = 4, alpha: float = 0.1, group: int =
 
 def cure_sampled(
     points: DataFrame, k: int, c: int = 4, alpha: float = 0.3, u_min: int | None = None, f: float = 0.3, d: float = 0.02,
-    n_reps: int | None = None, group: int = GROUP, seed: int = 42,
+    n_reps: int | None = None, group: int | None = None, seed: int = 42,
 ):
     """The same on a Chernoff-sized sample; every row then takes the label of its nearest
     representative: ``(labels, reps)`` with labels ``(id, label, dist)``."""

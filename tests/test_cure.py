@@ -2,6 +2,7 @@ import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from flockpoint.plans import cure as plan
 from flockpoint.plans.cure import _mutual, cure
@@ -97,3 +98,29 @@ def test_a_few_thousand_places_need_no_phases(vec, monkeypatch):
     monkeypatch.setattr(plan, "_near_clusters", None)
     x = np.random.default_rng(9).uniform(0, 1, (3_200, 2))
     assert cure(vec(x.tolist()), 3)[0].select("label").distinct().count() == 3
+
+
+@pytest.mark.parametrize("kind", ["even", "lattice", "line", "dense spots", "nearly equal"])
+def test_grid_and_dense_search_merge_alike(kind):
+    rng = np.random.default_rng(12)
+    x = {
+        "even": rng.random((300, 2)), "lattice": rng.integers(0, 14, (300, 2)).astype(float), "line": rng.random((300, 1)),
+        "dense spots": rng.normal(0, 1, (300, 3)) ** 5, "nearly equal": rng.random((100, 1)) * [[1e3, 1e-3]] + rng.integers(0, 3, (100, 1)) * 1e-15,
+    }[kind]
+    x = rng.permutation(np.unique(x, axis=0))
+    w = rng.integers(1, 7, len(x))
+    reps = [[v] * min(int(k), 4) for v, k in zip(x, w, strict=True)]
+    rows = pd.DataFrame({"region": 0, "cid": np.arange(len(x)), "n": w, "ls": list(x * w[:, None]), "reps": reps})
+    for below, most in ((np.inf, len(x) - 3.0), (0.3, np.inf), (np.inf, len(x) // 3)):
+        here = rows.assign(most=float(most))
+        grid, dense = (plan._region_merger(4, 0.2, below, n)((), here) for n in (5, 10_000))
+        pd.testing.assert_frame_equal(grid, dense, check_exact=True)
+
+
+def test_tens_of_thousands_of_places_are_one_region():
+    n = 21_000
+    assert plan.FLAT_GROUP > n > plan.GROUP
+    x = np.random.default_rng(13).uniform(0, 1, (n, 2))
+    rows = pd.DataFrame({"region": 0, "cid": np.arange(n), "n": 1, "ls": list(x), "reps": [[v] for v in x], "most": float(n - 4)})
+    out = plan._region_merger(4, 0.3, np.inf)((), rows)
+    assert out["cid"].nunique() == 4 and out.loc[out["turn"].isna(), "n"].sum() == n
