@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,38 @@ def test_sums_of_near_points_are_those_of_the_pairs(vec):
     sums = cells.near_points(p, p, kept, 0.05, origin, {"n": F.lit(1), "ids": F.col("id")})
     assert sorted(map(tuple, sums.collect())) == sorted(map(tuple, pairs.collect()))
     assert "features" not in sums.columns and sums.count() <= 300
+
+
+def test_many_dimensions_are_searched_without_shuffling_the_table(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    x = rng.normal(0, 1, (700, 20))
+    x[600:640] = x[:40]
+    monkeypatch.setattr(neighbours, "CHUNK_ROWS", 32)
+    monkeypatch.setattr(neighbours, "SCANS", 3)
+    points = S.with_dim(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>"), 20)
+    spread = []
+    monkeypatch.setattr(neighbours, "spread_over", lambda *a: spread.append(a))
+    got = {}
+    for r in neighbours.knn_join(points, 4).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = (r["nbr"], r["dist"])
+    assert not spread
+    for i, v in enumerate(x):
+        d = np.sqrt(((x - v) ** 2).sum(1))
+        want = [int(j) for j in np.lexsort((np.arange(len(x)), d)) if j != i][:4]
+        assert [got[i][r][0] for r in (1, 2, 3, 4)] == want
+        assert np.allclose([got[i][r][1] for r in (1, 2, 3, 4)], d[want])
+
+
+def test_other_lists_may_come_before_the_own_ones():
+    rng = np.random.default_rng(22)
+    x = rng.normal(0, 1, (60, 17))
+
+    def part(ids, other):
+        columns = {"g": [0], "of": [2], "other": [other], "ids": [ids], "x": [x[ids].ravel().tolist()]}
+        return pa.record_batch(columns)
+
+    parts = [part([*range(40, 60)], True), part([*range(20)], False), part([*range(20, 30)], False), part([*range(30, 40)], True)]
+    out = next(neighbours._nearest_in_group(3, 17)(parts))
+    d = np.sqrt(((x[:30, None] - x[None]) ** 2).sum(-1))
+    d[np.arange(30), np.arange(30)] = np.inf
+    assert out["nbr"].to_pylist() == np.argsort(d, axis=1, kind="stable")[:, :3].ravel().tolist()
