@@ -20,6 +20,8 @@ from ..session import attach, cut
 from ..sources.points import dim_of, sample_key, sample_n, sample_per_run
 
 NODES = 256  # cells of a cluster that bound a member's mean distance
+PLACES = 20_000  # places of a cluster that one task tries one by one
+TABLE = 1 << 20  # distances that such a task holds at a time
 
 
 def _frame(points: DataFrame, rows) -> DataFrame:
@@ -79,10 +81,59 @@ def _scored_members(now: DataFrame, stats: DataFrame, dim: int, seed: int) -> Da
     )
 
 
+def _first_better_place():
+    """The function that tries the places of one cluster; made here to travel by value."""
+
+    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(rows["features"].tolist(), dtype=float)
+        w = rows["w"].to_numpy(dtype=float)
+        # the present mean is added up like the others, so that a row at the medoid's place is no better
+        mean = (rows["dist"].to_numpy() * w)[None, :].sum(axis=1)[0] / w.sum()
+        first = rows["first"].to_numpy()
+        order = np.lexsort((first, rows["h"].to_numpy()))
+        order = order[rows["able"].to_numpy()[order]]
+        step = 8
+        while len(order):
+            tried, order = order[:step], order[step:]
+            far = np.zeros((len(tried), len(x)))
+            for i in range(x.shape[1]):
+                far += (x[tried, i, None] - x[None, :, i]) ** 2
+            better = np.flatnonzero((np.sqrt(far) * w).sum(axis=1) / w.sum() < mean)
+            if len(better):
+                at = tried[better[0]]
+                return pd.DataFrame({"center": key[0], "id": [int(first[at])], "features": [x[at].tolist()]})
+            step = min(2 * step, max(TABLE // len(x), 1))
+        return pd.DataFrame({"center": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "features": pd.Series([], dtype=object)})
+
+    return solve
+
+
 def first_better(now: DataFrame, dim: int, seed: int = 42, batch: int = 256) -> dict[int, tuple]:
     """For each cluster of ``now (id, features, center, dist)`` the first member, in hash order, whose mean distance to the
     members is below the present one: ``{center: (id, features)}``, without clusters that have none.
 
+    Rows at one place have one mean, so places are tried, each by its first row: in one task for a cluster of up to ``PLACES`` places.
+    Larger clusters are searched by rows, with bounds (``_first_better_row``).
+    """
+    other = F.when(F.col("id") != F.col("center"), F.struct(sample_key(seed).alias("h"), "id"))
+    places = now.groupBy("center", "features").agg(F.count(F.lit(1)).alias("w"), F.min("dist").alias("dist"), F.min(other).alias("f"))
+    # no nulls: numbers beside nulls would reach pandas as rounded doubles
+    of = lambda c: F.coalesce(F.col(f"f.{c}"), F.lit(0).cast("bigint"))
+    places = cut(places.select("center", "features", "w", "dist", F.col("f").isNotNull().alias("able"), of("h").alias("h"), of("id").alias("first")))
+    sizes = {r["center"]: r["count"] for r in places.groupBy("center").count().collect()}  # one row per cluster
+    large = [c for c, n in sizes.items() if n > PLACES]
+    out = _first_better_row(now.filter(F.col("center").isin(large)), dim, seed, batch) if large else {}
+    if len(large) < len(sizes):
+        small = places.filter(~F.col("center").isin(large)) if large else places
+        kinds = "center bigint, id bigint, features array<double>"
+        for r in small.groupBy("center").applyInPandas(_first_better_place(), kinds).collect():  # one row per cluster
+            out[r["center"]] = (r["id"], r["features"])
+    return out
+
+
+def _first_better_row(now: DataFrame, dim: int, seed: int = 42, batch: int = 256) -> dict[int, tuple]:
+    """``first_better`` for clusters of any size.
+
     Bounds settle most members: those that cannot improve are dropped, the first that is sure to ends the search of its
     cluster. What lies before it is a table, and is tried exactly in hash order, about ``batch`` members of a cluster at a
     time, by a join on the split cluster. The driver sees one row per cluster.

@@ -62,3 +62,18 @@ def test_copies_and_a_best_medoid(spark):
     assert medoids.first_better(same, 2) == {}
     now = assigned(spark, random.Random(5), 2, [120, 90], 0)
     assert medoids.first_better(now, 2) == {}
+
+
+def test_places_are_tried_in_one_task_and_like_rows(spark, monkeypatch):
+    now = assigned(spark, random.Random(11), 2, [150, 80], 40)
+    copies = now.select((F.col("id") + 10_000).alias("id"), "features", "center", "dist").filter("id % 3 = 0")
+    now = now.unionByName(copies).unionByName(now.filter("id % 7 = 0"))
+    rows = medoids._first_better_row(now, 2, 7)
+    assert {c: v[0] for c, v in rows.items()} == plain(now, 7)
+    monkeypatch.setattr(medoids, "PLACES", 100)
+    mixed = medoids.first_better(now, 2, 7)  # one cluster by places, one by rows
+    monkeypatch.setattr(medoids, "PLACES", 1_000)
+    monkeypatch.setattr(medoids, "_scored_members", None)
+    places = medoids.first_better(now, 2, 7)
+    assert {c: (v[0], list(v[1])) for c, v in places.items()} == {c: (v[0], list(v[1])) for c, v in rows.items()}
+    assert {c: v[0] for c, v in mixed.items()} == {c: v[0] for c, v in rows.items()}
